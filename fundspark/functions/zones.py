@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 FIRST_YEAR, LAST_YEAR = 1970, 2040
 _STEP_S = 10 * 86_400
 
-SCHEMA = "zone string, year int, intervals array<struct<from_s: bigint, to_s: bigint, offset_s: int>>"
-
-
 def _offset(zone: ZoneInfo, utc_s: int) -> int:
     at = datetime.fromtimestamp(utc_s, timezone.utc)
     return int(at.astimezone(zone).utcoffset().total_seconds())
@@ -45,8 +42,8 @@ def offset_intervals(name: str) -> list[tuple[int, int, int]]:
     return out
 
 
-@lru_cache(maxsize=1)
-def _rows(names: tuple[str, ...]) -> list[tuple]:
+@lru_cache(maxsize=4)
+def _rows(names: tuple[str, ...]) -> list[tuple[str, int, list[tuple[int, int, int]]]]:
     rows = []
     for name in names:
         spans = offset_intervals(name)
@@ -55,7 +52,10 @@ def _rows(names: tuple[str, ...]) -> list[tuple]:
             lo, hi = _year_start(year), _year_start(year + 1)
             while k < len(spans) and spans[k][1] <= lo:
                 k += 1
-            own = [(a, b, o) for a, b, o in spans[k : k + 12] if a < hi and b > lo]
+            own, j = [], k
+            while j < len(spans) and spans[j][0] < hi:
+                own.append(spans[j])
+                j += 1
             rows.append((name.lower(), year, own))
     return rows
 
@@ -67,13 +67,24 @@ def named_zones() -> tuple[str, ...]:
 
 
 def zone_intervals(spark: SparkSession, names: tuple[str, ...] | None = None) -> DataFrame:
-    """The intervals of each zone, exploded by local year and kept together per (zone, year).
+    """The intervals of each zone, exploded by local year: zone, year and from, to, offset of the 1st, 2nd ... interval of that year.
 
-    Its size is zones x years (about 30,000 short rows for all zones, 71 a
-    zone otherwise) whatever the data, so it may always be broadcast.
+    Its size is zones x 71 short rows whatever the data, so it may always be
+    broadcast. ``names`` (default: all IANA zones) must be IANA names.
     """
-    names = tuple(sorted({n for n in (names or named_zones()) if n}))
-    return spark.createDataFrame(list(_rows(names)), SCHEMA)
+    rows = _rows(tuple(sorted({n for n in (named_zones() if names is None else names) if n})))
+    slots = max((len(own) for _, _, own in rows), default=1)
+    schema = "zone string, year int" + "".join(f", from_{k} bigint, to_{k} bigint, offset_{k} bigint" for k in range(slots))
+    flat = [(z, y, *(v for span in own for v in span), *([None] * 3 * (slots - len(own)))) for z, y, own in rows]
+    return spark.createDataFrame(flat, schema)
+
+
+def zones_in(cells: DataFrame, col: str) -> tuple[str, ...]:
+    """The IANA zones named anywhere in the end of the strings of ``col``: a distinct over one column, bounded by the list of IANA names."""
+    known = {z.lower(): z for z in named_zones()}
+    name = F.lower(F.regexp_extract(F.col(col), r"([A-Za-z]+/[A-Za-z_/+-]+)\s*$", 1))
+    found = cells.where(F.col(col).rlike(r"[A-Za-z]/[A-Za-z]")).select(name.alias("z")).where(F.col("z").isin(*known)).distinct()
+    return tuple(known[r.z] for r in found.collect())
 
 
 def resolve_local(df: DataFrame, zone_key: str, local_s: str, intervals: DataFrame) -> DataFrame:
@@ -83,15 +94,13 @@ def resolve_local(df: DataFrame, zone_key: str, local_s: str, intervals: DataFra
     intervals mean that the clocks show the time twice, none that they never
     do (or that the zone is unknown, or null); one gives the offset.
     """
+    slots = sum(c.startswith("from_") for c in intervals.columns)
     year = F.year(F.date_from_unix_date(F.floor(F.col(local_s) / 86_400).cast("int")))
-    side = F.broadcast(intervals.select(F.col("zone").alias("_zone"), F.col("year").alias("_year"), F.col("intervals").alias("_spans")))
+    side = F.broadcast(intervals.withColumnsRenamed({"zone": "_zone", "year": "_year"}))
     joined = df.withColumn("_ly", F.when(F.col(zone_key).isNotNull(), year)).join(
         side, (F.col(zone_key) == F.col("_zone")) & (F.col("_ly") == F.col("_year")), "left"
     )
-    hit = F.filter("_spans", lambda x: (F.col(local_s) >= x["from_s"]) & (F.col(local_s) < x["to_s"]))
-    return (
-        joined.withColumn("_hit", hit)
-        .withColumn("zone_matches", F.coalesce(F.size("_hit"), F.lit(0)))
-        .withColumn("zone_offset_s", F.when(F.size("_hit") == 1, F.col("_hit")[0]["offset_s"]))
-        .drop("_zone", "_year", "_spans", "_hit", "_ly")
-    )
+    hit = [F.coalesce((F.col(local_s) >= F.col(f"from_{k}")) & (F.col(local_s) < F.col(f"to_{k}")), F.lit(False)) for k in range(slots)]
+    matches = sum((h.cast("int") for h in hit[1:]), hit[0].cast("int"))
+    offset = F.coalesce(*[F.when(h, F.col(f"offset_{k}")) for k, h in enumerate(hit)])
+    return joined.select(*df.columns, matches.alias("zone_matches"), F.when(matches == 1, offset).alias("zone_offset_s"))

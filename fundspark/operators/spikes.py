@@ -14,11 +14,11 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window  # noqa: F401
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fundspark.operators.readings import readable
-from fundspark.session import bounded_broadcast
+from fundspark.session import small_side
 
 DAY_S = 86_400
 #: Readings on each side that give the level.
@@ -194,7 +194,7 @@ def implausible(rows: DataFrame, nav: DataFrame) -> DataFrame:
     and limits are the stretch's own. Rows that aren't readable, or of a null
     isin, never come out; repeated rows are judged alike.
     """
-    extent = bounded_broadcast(source_extent(nav))
+    extent = small_side(source_extent(nav))
     x = readable(rows).where(F.col("isin").isNotNull())
     x = x.join(extent, F.col("isin") == F.col("_isin2"), "left")
     home = F.coalesce(F.floor(F.col("at_s") / F.col("segment_s")), F.lit(0))

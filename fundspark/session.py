@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,20 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``bounded_broadcast`` of a computed side: it is kept, so that the check of its size doesn't compute it twice."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    return F.broadcast(df) if df.count() <= max_rows else df
+
+
+def tune(spark: SparkSession) -> None:
+    """Let Spark leave a fused stage whose compiled method HotSpot wouldn't compile (over 8000 bytes of bytecode).
+
+    The long parsing expressions here exceed that limit; interpreted they take twice the time of the unfused form.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's ``spark.checkpoint.dir``; set a temporary one only where it is unset (local runs)."""
     sc = spark.sparkContext
