@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime, timedelta, timezone
 from functools import lru_cache
 from zoneinfo import ZoneInfo, available_timezones
@@ -75,8 +76,16 @@ def zone_intervals(spark: SparkSession, names: tuple[str, ...] | None = None) ->
     rows = _rows(tuple(sorted({n for n in (named_zones() if names is None else names) if n})))
     slots = max((len(own) for _, _, own in rows), default=1)
     schema = "zone string, year int" + "".join(f", from_{k} bigint, to_{k} bigint, offset_{k} bigint" for k in range(slots))
-    flat = [(z, y, *(v for span in own for v in span), *([None] * 3 * (slots - len(own)))) for z, y, own in rows]
-    return spark.createDataFrame(flat, schema)
+    names_of = ("from", "to", "offset")
+    flat = [
+        {"zone": z, "year": y} | {f"{n}_{k}": v for k, span in enumerate(own) for n, v in zip(names_of, span)} for z, y, own in rows
+    ]
+    # one literal, read on the executors: no driver-side frame library is needed for it
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(flat)), f"array<struct<{_typed(schema)}>>")))
+
+
+def _typed(schema: str) -> str:
+    return ", ".join(f"{name}: {kind}" for name, kind in (c.split() for c in schema.split(", ")))
 
 
 def zones_in(cells: DataFrame, col: str) -> tuple[str, ...]:

@@ -11,15 +11,18 @@ from __future__ import annotations
 
 import math
 from statistics import NormalDist
+from typing import TYPE_CHECKING
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fundspark.operators.readings import readable
 from fundspark.session import small_side
 
+if TYPE_CHECKING:
+    import numpy as np
+    import pyarrow as pa
+
 DAY_S = 86_400
 #: Readings on each side that give the level.
 NEIGHBOURS = 5
@@ -39,6 +42,7 @@ RESULT = "nav_id bigint, isin string, at_s bigint, value double, kind string, sc
 
 def gesd_limits(n: int, most: int, alpha: float = ALPHA) -> np.ndarray:
     """Critical values of the generalised ESD test for the 1st to ``most``-th extreme of ``n`` values."""
+    import numpy as np
     i = np.arange(1, most + 1)
     out = np.empty(most)
     for k in i:
@@ -53,6 +57,7 @@ def gesd_limits(n: int, most: int, alpha: float = ALPHA) -> np.ndarray:
 
 def _level(x: np.ndarray, at: np.ndarray, reach: float, back: bool) -> np.ndarray:
     """Median of up to NEIGHBOURS values before (after) each one, none further than ``reach``; NaN if there is none."""
+    import numpy as np
     n = len(x)
     near = np.full((n, NEIGHBOURS), np.nan)
     for k in range(1, NEIGHBOURS + 1):
@@ -71,6 +76,7 @@ def _level(x: np.ndarray, at: np.ndarray, reach: float, back: bool) -> np.ndarra
 
 def _season(rest: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Median remainder by season, 0 where a season has fewer than 20 remainders."""
+    import numpy as np
     out = np.zeros(len(rest))
     for k in np.unique(key):
         own = (key == k) & ~np.isnan(rest)
@@ -86,6 +92,7 @@ def judge_segment(at_s: np.ndarray, value: np.ndarray, received: np.ndarray, ids
     more than two readings a day); the delivery received last speaks for it, and every row is
     judged by its own value. Order of the rows doesn't matter.
     """
+    import numpy as np
     n = len(value)
     kind, score = np.full(n, "", dtype=object), np.zeros(n)
     day = at_s // DAY_S
@@ -155,6 +162,8 @@ def judge_segment(at_s: np.ndarray, value: np.ndarray, received: np.ndarray, ids
 
 
 def _judge(table: pa.Table) -> pa.Table:
+    import numpy as np
+    import pyarrow as pa
     col = lambda c: table.column(c).to_numpy(zero_copy_only=False)
     at, own = col("at_s"), col("own")
     kind, score = judge_segment(at, col("value"), col("received_s"), col("nav_id"), col("decimals"), float(col("reach_s")[0]))
