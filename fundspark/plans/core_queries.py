@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from fundspark.operators.moments import same_moment_pairs
 from fundspark.operators.readings import nav_rows
 from fundspark.operators.rolling import daily_totals, trailing_totals
 from fundspark.operators.spikes import implausible
+from fundspark.operators.units import quantities, same_quantity_pairs
 from fundspark.sources.tables import table
 
 
@@ -32,6 +35,36 @@ def p3_flags(spark: SparkSession, d: str) -> DataFrame:
     return implausible(_rows(spark, d), table(spark, d, "nav"))
 
 
+UNIT_FIELDS = (
+    ("fund_summaries", "summary_id", "frais_gestion_annuels", "fee"),
+    ("fund_summaries", "summary_id", "frais_entree_max", "fee"),
+    ("fund_summaries", "summary_id", "actif_net", "amount"),
+    ("prospectus_data", "prospectus_id", "valeur_initiale_part", "amount"),
+)
+
+
+def _quantities(spark: SparkSession, d: str, name: str, key: str, field: str, kind: str) -> DataFrame:
+    rows = table(spark, d, name).select(key, "isin", "extracted_by", "devise", field)
+    return quantities(spark, rows, field, table(spark, d, "source_units"), kind)
+
+
+def p4_quantities(spark: SparkSession, d: str) -> DataFrame:
+    """Each cell of the four fields as one number in the common unit, with its currency for amounts."""
+    parts = [
+        _quantities(spark, d, name, key, field, kind).select(F.lit(field).alias("field"), F.col(key).alias("id"), "isin", "quantity", "currency")
+        for name, key, field, kind in UNIT_FIELDS
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    parts = [
+        same_quantity_pairs(_quantities(spark, d, name, key, field, kind), key, field).select(F.lit(field).alias("field"), "id_a", "id_b")
+        for name, key, field, kind in UNIT_FIELDS
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def p5_moments(spark: SparkSession, d: str) -> DataFrame:
     """Each NAV date and prospectus date in one unambiguous form, or as unresolvable."""
     moment = F.date_format(F.timestamp_seconds("utc_s"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -73,6 +106,8 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p3_found": p3_found,
     "p3_flags": p3_flags,
+    "p4_found": p4_found,
+    "p4_quantities": p4_quantities,
     "p5_found": p5_found,
     "p5_moments": p5_moments,
     "p6_found": p6_found,
