@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundspark.llm import packing, tokens
+from fundspark.llm import packing, residue, tokens
 from fundspark.sources.tables import table
 
 
@@ -28,7 +28,18 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.marked(table(spark, d, "documents")).where("excluded").select("doc_id").distinct()
+
+
+def p10_marked(spark: SparkSession, d: str) -> DataFrame:
+    """Each document with the kinds of residue found, the share of its text they cover and whether it is excluded."""
+    return residue.marked(table(spark, d, "documents"))
+
+
 QUERIES = {
+    "p10_found": p10_found,
+    "p10_marked": p10_marked,
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
 }
