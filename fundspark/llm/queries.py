@@ -7,10 +7,41 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundspark.llm import packing, residue, tokens
+from fundspark.llm import lookalike, packing, residue, splitting, tokens
 from fundspark.sources.tables import table
 
 
+TEXT_TABLES = (("page_text", "page_id"), ("parent_chunk", "chunk_no"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    parts = [
+        lookalike.look_alike_pairs(table(spark, d, name).select(F.col(key).cast("bigint").alias("id"), "text")).select(
+            F.lit(name).alias("tbl"), "id_a", "id_b"
+        )
+        for name, key in TEXT_TABLES
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p1_normalised(spark: SparkSession, d: str) -> DataFrame:
+    """The consistent form of every page and parent chunk."""
+    parts = [
+        lookalike.normalise(table(spark, d, name).select(F.col(key).cast("bigint").alias("id"), "text")).select(F.lit(name).alias("tbl"), "id", "normal")
+        for name, key in TEXT_TABLES
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of every section."""
+    return splitting.split_sections(table(spark, d, "doc_sections"), table(spark, d, "chunking_config"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.over_limit(p2_pieces(spark, d))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, ids) of each document by byte_bpe_50k, without special tokens."""
     return tokens.encode(spark, table(spark, d, "documents"))
@@ -38,6 +69,10 @@ def p10_marked(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_normalised": p1_normalised,
+    "p2_found": p2_found,
+    "p2_pieces": p2_pieces,
     "p10_found": p10_found,
     "p10_marked": p10_marked,
     "p8_ids": p8_ids,
