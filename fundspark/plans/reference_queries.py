@@ -105,7 +105,9 @@ ROLL = """, rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY fund_id ORDER BY dt
 rp AS (SELECT a.fund_id, a.dt, (AVG(b.r)*252-0.02)/(STDDEV_POP(b.r)*SQRT(252)) AS s FROM rk a JOIN rk b ON a.fund_id=b.fund_id AND b.kk BETWEEN a.kk-251 AND a.kk WHERE a.kk>=252 GROUP BY 1,2)
 """
 query("rolling_sharpe_points", P + ROLL + "SELECT fund_id, CAST(dt AS VARCHAR) AS dt, ROUND(s, 5) + 0.0 AS rolling_sharpe FROM rp")(
-    lambda s, d: r6(timeseries.rolling_sharpe_points(panel(s, d), 252, 0.02)).withColumn("rolling_sharpe", F.round("rolling_sharpe", 5) + 0.0)
+    lambda s, d: timeseries.rolling_sharpe_points(panel(s, d), 252, 0.02).select(
+        "fund_id", F.col("dt").cast("string").alias("dt"), (F.round("rolling_sharpe", 5) + 0.0).alias("rolling_sharpe")
+    )
 )
 query(
     "rolling_sharpe",
