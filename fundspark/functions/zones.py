@@ -75,8 +75,8 @@ def zone_intervals(spark: SparkSession, names: tuple[str, ...] | None = None) ->
     """
     rows = _rows(tuple(sorted({n for n in (named_zones() if names is None else names) if n})))
     slots = max((len(own) for _, _, own in rows), default=1)
-    schema = "zone string, year int" + "".join(f", from_{k} bigint, to_{k} bigint, offset_{k} bigint" for k in range(slots))
-    names_of = ("from", "to", "offset")
+    schema = "zone string, year int" + "".join(f", _from_{k} bigint, _to_{k} bigint, _offset_{k} bigint" for k in range(slots))
+    names_of = ("_from", "_to", "_offset")
     flat = [
         {"zone": z, "year": y} | {f"{n}_{k}": v for k, span in enumerate(own) for n, v in zip(names_of, span)} for z, y, own in rows
     ]
@@ -103,13 +103,13 @@ def resolve_local(df: DataFrame, zone_key: str, local_s: str, intervals: DataFra
     intervals mean that the clocks show the time twice, none that they never
     do (or that the zone is unknown, or null); one gives the offset.
     """
-    slots = sum(c.startswith("from_") for c in intervals.columns)
+    slots = sum(c.startswith("_from_") for c in intervals.columns)
     year = F.year(F.date_from_unix_date(F.floor(F.col(local_s) / 86_400).cast("int")))
     side = F.broadcast(intervals.withColumnsRenamed({"zone": "_zone", "year": "_year"}))
     joined = df.withColumn("_ly", F.when(F.col(zone_key).isNotNull(), year)).join(
         side, (F.col(zone_key) == F.col("_zone")) & (F.col("_ly") == F.col("_year")), "left"
     )
-    hit = [F.coalesce((F.col(local_s) >= F.col(f"from_{k}")) & (F.col(local_s) < F.col(f"to_{k}")), F.lit(False)) for k in range(slots)]
+    hit = [F.coalesce((F.col(local_s) >= F.col(f"_from_{k}")) & (F.col(local_s) < F.col(f"_to_{k}")), F.lit(False)) for k in range(slots)]
     matches = sum((h.cast("int") for h in hit[1:]), hit[0].cast("int"))
-    offset = F.coalesce(*[F.when(h, F.col(f"offset_{k}")) for k, h in enumerate(hit)])
+    offset = F.coalesce(*[F.when(h, F.col(f"_offset_{k}")) for k, h in enumerate(hit)])
     return joined.select(*df.columns, matches.alias("zone_matches"), F.when(matches == 1, offset).alias("zone_offset_s"))

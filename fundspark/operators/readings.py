@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fundspark.functions.timestamps import parse_cells, resolve
 from fundspark.functions.zones import named_zones, zone_intervals, zones_in
-from fundspark.session import bounded_broadcast, tune
+from fundspark.session import bounded_broadcast, spread, tune
 
 _GROUPING = " '\u2019\u00a0\u2002\u2005\u2007\u2009\u202f\u3000\t"
 
@@ -36,7 +36,7 @@ def nav_rows(spark: SparkSession, nav: DataFrame, feeds: DataFrame, sheets: Data
     * ``day``: the day in the fund's zone, or the day written where there is no clock time or it can't be resolved,
     * ``at_s``: the position on the fund's wall clock, in seconds.
 
-    No shuffle: the feeds and sheets are broadcast behind a check of their
+    No shuffle of a large table: the feeds and sheets are broadcast behind a check of their
     number of rows; a sheet table beyond the bound is joined by a shuffle.
     Columns of other names are dropped; repeated feed or sheet keys count once.
     """
@@ -45,7 +45,7 @@ def nav_rows(spark: SparkSession, nav: DataFrame, feeds: DataFrame, sheets: Data
     zones = zone_intervals(spark, tuple(r[0] for r in named) + zones_in(nav, "date"))
     feeds = feeds.groupBy("feed_code").agg(F.first("tz_name").alias("feed_tz"), F.first("day_first").alias("day_first"))
     sheets = sheets.groupBy(F.col("isin").alias("_isin")).agg(F.first("rhythm").alias("rhythm"), F.first("tz_name").alias("tz_name"))
-    rows = nav.select(*dict.fromkeys(("isin", "nav_file", "date", "nav", "feed_code", *keep)))
+    rows = spread(nav.select(*dict.fromkeys(("isin", "nav_file", "date", "nav", "feed_code", *keep))))
     rows = rows.join(bounded_broadcast(feeds), "feed_code", "left")
     rows = rows.join(bounded_broadcast(sheets), F.col("isin") == F.col("_isin"), "left").drop("_isin")
     rows = resolve(parse_cells(rows, "date", F.col("day_first"), F.col("feed_tz")), spark, zones)

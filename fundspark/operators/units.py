@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundspark.functions.timestamps import tidy
+from fundspark.session import bounded_broadcast
 
 # Unit, unit, factor, offset.
 EDGES = (
@@ -65,7 +66,7 @@ def conversion_table(spark: SparkSession) -> DataFrame:
     rows = [(u, t, format(float(a), ".12f"), format(float(b), ".12f")) for u, t, a, b in conversions()]
     values = ", ".join(f"('{u}', '{t}', {a}BD, {b}BD)" for u, t, a, b in rows)
     return spark.sql(
-        f"SELECT unit AS _unit, target, CAST(factor AS DECIMAL(20,8)) AS factor, CAST(shift AS DECIMAL(20,8)) AS shift FROM VALUES {values} AS t(unit, target, factor, shift)"
+        f"SELECT unit AS _unit, target AS _target, CAST(factor AS DECIMAL(20,8)) AS _factor, CAST(shift AS DECIMAL(20,8)) AS _shift FROM VALUES {values} AS t(unit, target, factor, shift)"
     )
 
 
@@ -118,12 +119,13 @@ def quantities(
     no scale it is in whole units of it; a currency not stated is the row's.
     Fees: "no fee" is 0, an amount per base its ratio, a flat amount null.
     Null, blank and wordy cells, and rows of an unknown source without unit, give null.
-    The sources and conversions are small fixed tables and are broadcast.
+    The sources are broadcast behind a check of their number, the conversions as their size is that of the list of units.
+    Columns of ``rows`` named quantity or currency are replaced.
     """
     src = sources.groupBy(F.col("source_code").alias("_src")).agg(
         F.first("decimal_mark").alias("_mark"), F.first("fee_unit" if kind == "fee" else "amount_unit").alias("_own")
     )
-    x = rows.join(F.broadcast(src), F.col(source_col) == F.col("_src"), "left")
+    x = rows.join(bounded_broadcast(src), F.col(source_col) == F.col("_src"), "left")
     x = x.withColumn("_t", tidy(F.col(cell)))
     t = F.col("_t")
     x = x.withColumn("_n", F.regexp_extract(t, _NUMBER, 0)).withColumn(
@@ -149,12 +151,12 @@ def quantities(
         x = x.withColumn("_u", F.when(n != "", unit)).withColumn("_v", _decimal(n, mark, "decimal(20,8)"))
         x = x.withColumn("currency", F.coalesce(stated, F.upper(F.trim(currency_col))))
     target = "fraction" if kind == "fee" else "unit"
-    table = conversion_table(spark).where(F.col("target") == target).drop("target")
+    table = conversion_table(spark).where(F.col("_target") == target).drop("_target")
     x = x.join(F.broadcast(table), F.col("_u") == F.col("_unit"), "left")
-    converted = (F.col("_v").cast("decimal(20,8)") * F.col("factor") + F.col("shift")).cast("decimal(33,12)")
+    converted = (F.col("_v").cast("decimal(20,8)") * F.col("_factor") + F.col("_shift")).cast("decimal(33,12)")
     x = x.withColumn("quantity", F.coalesce("_ratio", converted))
     x = x.withColumn("currency", F.when(F.col("quantity").isNotNull(), F.col("currency")))
-    return x.drop("_src", "_mark", "_own", "_t", "_n", "_rest", "_ratio", "_u", "_v", "_unit", "factor", "shift")
+    return x.drop("_src", "_mark", "_own", "_t", "_n", "_rest", "_ratio", "_u", "_v", "_unit", "_factor", "_shift")
 
 
 def same_quantity_pairs(rows: DataFrame, id_col: str, cell: str) -> DataFrame:

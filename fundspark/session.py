@@ -45,6 +45,16 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its scan has fewer parts than there are (a small file of one row group), else as it is.
+
+    Row-wise work that costs much more than reading is then not left to one
+    task; a large input already has more parts than cores and isn't shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def tune(spark: SparkSession) -> None:
     """Let Spark leave a fused stage whose compiled method HotSpot wouldn't compile (over 8000 bytes of bytecode).
 
