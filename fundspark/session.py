@@ -56,15 +56,12 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Let Spark leave a fused stage whose compiled method HotSpot wouldn't compile (over 8000 bytes of bytecode).
+    """Settings for the long parsing expressions of NAV rows.
 
-    The long parsing expressions here exceed that limit; interpreted they take twice the time of the unfused form.
+    Spark may leave a fused stage whose compiled method HotSpot wouldn't
+    compile (over 8000 bytes of bytecode); interpreted it takes twice the time
+    of the unfused form. Dynamic partition pruning, of no use on tables that aren't
+    partitioned, follows every alias of a join key down the plan, which takes seconds for keys that are parsed from text.
     """
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; set a temporary one only where it is unset (local runs)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fundspark-ckpt-"))
+    spark.conf.set("spark.sql.optimizer.dynamicPartitionPruning.enabled", "false")
