@@ -103,10 +103,10 @@ def _first(text: Column, table) -> Column:
 
 
 def _decimal(text: Column, mark: Column, kind: str) -> Column:
-    """A number whose decimal mark is ``mark``; any other mark only groups digits. More than one decimal mark gives null."""
+    """A number whose decimal mark is ``mark``; any other mark only groups digits. More than one decimal mark, or a mark where ``mark`` is unknown, gives null."""
     comma = F.translate(F.translate(text, " .'’", ""), ",", ".")
     point = F.translate(text, " ,'’", "")
-    return F.when(mark == ",", comma).otherwise(point).try_cast(kind)
+    return F.when(mark == ",", comma).when((mark == ".") | ~text.rlike("[.,]"), point).try_cast(kind)
 
 
 def quantities(
