@@ -160,7 +160,7 @@ SELECT fund_id, {R('-MIN(depth)','max_dd')}, CAST(MAX(peak_dt) FILTER (WHERE k=1
 query(
     "correlation_pairs",
     P + f""", p AS (SELECT a.fund_id AS fund_a, b.fund_id AS fund_b, a.dt, a.nav/LAG(a.nav) OVER w-1 AS rx, b.nav/LAG(b.nav) OVER w-1 AS ry FROM nav a JOIN nav b ON a.dt=b.dt AND a.fund_id<b.fund_id
- WINDOW w AS (PARTITION BY a.fund_id, b.fund_id ORDER BY a.dt)) SELECT fund_a, fund_b, COUNT(*) AS common, {R('COVAR_POP(rx,ry)/(STDDEV_POP(rx)*STDDEV_POP(ry))','correlation')}, 'ok' AS status FROM p GROUP BY 1,2""",
+ WINDOW w AS (PARTITION BY a.fund_id, b.fund_id ORDER BY a.dt)) SELECT fund_a, fund_b, COUNT(*) AS common, {R('CASE WHEN COUNT(*)>=30 THEN COVAR_POP(rx,ry)/(STDDEV_POP(rx)*STDDEV_POP(ry)) END','correlation')}, CASE WHEN COUNT(*)<30 THEN 'insufficient' ELSE 'ok' END AS status FROM p GROUP BY 1,2""",
 )(lambda s, d: r6(timeseries.correlations(panel(s, d))))
 
 # Screening -------------------------------------------------------------------------------------------------------------------------
