@@ -441,3 +441,34 @@ query("isin_check", "SELECT * FROM (VALUES ('FR0000131104', true), ('FR000013110
     lambda s, d: s.sql("SELECT * FROM VALUES ('FR0000131104'), ('FR0000131105'), ('US0378331005'), ('XX') AS t(isin)").select("isin", scalars.isin_valid(F.col("isin")).alias("valid"))
 )
 query("safe_arith", "SELECT CAST(2 AS DOUBLE) AS x, CAST(17.5 AS DOUBLE) AS y")(lambda s, d: s.range(1).select(scalars.arithmetic("-7 % 3").alias("x"), scalars.arithmetic("(3 + 4) * 5 / 2").alias("y")))
+
+# Extraction --------------------------------------------------------------------------------------------------------------------------
+
+
+def _extracted(s: SparkSession, d: str) -> DataFrame:
+    from fundspark.operators.extract import extract
+
+    return extract(table(s, d, "documents"), "doc_id")
+
+
+query("extract_fields")(lambda s, d: _extracted(s, d).drop("confidence", "scenarios"))
+
+
+@query("extraction_confidence")
+def extraction_confidence(s: SparkSession, d: str) -> DataFrame:
+    from fundspark.operators.extract import confidence_counts
+
+    return confidence_counts(_extracted(s, d))
+
+
+query(
+    "fill_rate",
+    "SELECT fichier_source, MAX(champs_trouves) AS found, " + R("MAX(champs_trouves*100.0/champs_total)", "rate") + " FROM prospectus_data WHERE champs_total > 0 AND fichier_source IS NOT NULL GROUP BY 1",
+)(
+    lambda s, d: r6(
+        table(s, d, "prospectus_data").where("champs_total > 0 and fichier_source is not null").groupBy("fichier_source").agg(F.max("champs_trouves").alias("found"), F.max(F.col("champs_trouves") * 100.0 / F.col("champs_total")).alias("rate"))
+    )
+)
+query("provenance_histogram", "SELECT how, COUNT(*) AS n FROM (SELECT unnest(map_values(confidence)) AS how FROM prospectus_data) GROUP BY 1")(
+    lambda s, d: table(s, d, "prospectus_data").select(F.explode(F.map_values("confidence")).alias("how")).groupBy("how").agg(F.count(F.lit(1)).alias("n"))
+)
