@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundspark.functions.timestamps import parse_cells, resolve
+from fundspark.functions.zones import zone_intervals, zones_in
 from fundspark.operators.grid import regular_series
 from fundspark.operators.moments import same_moment_pairs
 from fundspark.operators.readings import nav_rows
@@ -23,7 +24,7 @@ def _rows(spark: SparkSession, d: str, keep: tuple[str, ...] = ("nav_id", "recei
 
 def _prospectus_dates(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "prospectus_data").select("prospectus_id", "isin", "date_document")
-    return resolve(parse_cells(rows, "date_document"), spark)
+    return resolve(parse_cells(rows, "date_document"), spark, zone_intervals(spark, zones_in(rows, "date_document")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
