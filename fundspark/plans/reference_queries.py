@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundspark.functions import gate, scalars
-from fundspark.operators import chunking, evaluate, retrieval, screening, series, timeseries
+from fundspark.functions import gate, parsing, scalars
+from fundspark.operators import children, chunking, evaluate, retrieval, screening, series, timeseries
 from fundspark.sources import readers
 from fundspark.sources.tables import table
 from fundspark.streaming import audit
@@ -317,6 +317,7 @@ query("dehyphenate", "SELECT page_id, CAST(length(regexp_replace(replace(text, c
 )
 query("sections")(lambda s, d: chunking.sections(table(s, d, "page_text").where("source_file is not null and text is not null")))
 query("parent_chunks")(lambda s, d: chunking.parent_chunks(chunking.sections(table(s, d, "page_text").where("source_file is not null and text is not null"))))
+query("child_chunks")(lambda s, d: children.child_chunks(table(s, d, "doc_sections").where("source_file is not null and section_index is not null")))
 
 # Gates, loop and evaluation ------------------------------------------------------------------------------------------------------------
 query("metric_intent", "SELECT doc_id, " + " OR ".join(f"contains(lower(text),'{w}')" for w in gate.METRIC_WORDS) + " AS intent FROM documents WHERE text IS NOT NULL")(
@@ -472,3 +473,25 @@ query(
 query("provenance_histogram", "SELECT how, COUNT(*) AS n FROM (SELECT unnest(map_values(confidence)) AS how FROM prospectus_data) GROUP BY 1")(
     lambda s, d: table(s, d, "prospectus_data").select(F.explode(F.map_values("confidence")).alias("how")).groupBy("how").agg(F.count(F.lit(1)).alias("n"))
 )
+
+query("numeric_checks")(
+    lambda s, d: table(s, d, "documents").where("text is not null").select("doc_id", parsing.numeric_match(scalars.numbers_in(F.col("text")), F.lit(0.125)).alias("holds"))
+)
+query("sfdr_context")(lambda s, d: table(s, d, "documents").where("text is not null").select("doc_id", parsing.sfdr_near(F.col("text")).alias("sfdr")))
+query("metadata_flatten", "SELECT chunk_no, metadata.source_file AS source_file, CAST(metadata.page AS BIGINT) AS page FROM parent_chunk")(
+    lambda s, d: table(s, d, "parent_chunk").select("chunk_no", F.col("metadata.source_file").alias("source_file"), F.col("metadata.page").cast("bigint").alias("page"))
+)
+query("stack_comparison", HITS + f""", m AS (SELECT g.query_id, CAST(COUNT(h.id)>0 AS INT) AS hit, COUNT(h.id)*1.0/MAX(len(expected)) AS recall FROM g LEFT JOIN h ON g.query_id=h.query_id AND list_contains(expected, h.id) GROUP BY 1)
+SELECT 'dense' AS stack, {R('AVG(hit)','hit')}, {R('AVG(recall)','recall')} FROM m""")(
+    lambda s, d: r6(evaluate.retrieval_metrics(golden(s, d), dense(s, d)).agg(F.avg("hit").alias("hit"), F.avg("recall").alias("recall")).select(F.lit("dense").alias("stack"), "hit", "recall"))
+)
+query("threshold_check", HITS + f""", m AS (SELECT g.query_id, CAST(COUNT(h.id)>0 AS INT) AS hit FROM g LEFT JOIN h ON g.query_id=h.query_id AND list_contains(expected, h.id) GROUP BY 1)
+SELECT 'hit' AS metric, (SELECT AVG(hit) FROM m) < 0.4 AS failed UNION ALL SELECT 'latency', true""")(lambda s, d: _thresholds(s, d))
+
+
+def _thresholds(s: SparkSession, d: str) -> DataFrame:
+    """A metric that is missing fails like one below its bound."""
+    score = evaluate.retrieval_metrics(golden(s, d), dense(s, d)).agg(F.avg("hit").alias("score")).withColumn("m", F.lit("hit"))
+    wanted = s.sql("SELECT * FROM VALUES ('hit', 0.4D), ('latency', 1.0D) AS t(metric, bound)")
+    x = wanted.join(score, F.col("metric") == F.col("m"), "left")
+    return x.select("metric", (F.col("score").isNull() | (F.col("score") < F.col("bound"))).alias("failed"))

@@ -45,3 +45,43 @@ def flatten(df: DataFrame) -> DataFrame:
     def one(name: str, kind: str) -> Column:
         return F.to_json(name).alias(name) if kind.startswith(("array", "map", "struct")) else F.col(name)
     return df.select(*[one(n, k) for n, k in df.dtypes])
+
+
+def read_pages(spark: SparkSession, folder: str, suffix: str = "txt") -> DataFrame:
+    """(source_file, page, text) of text files whose pages are parted by form feeds, 1-based, empty pages dropped; subfolders too, any case of the suffix."""
+    glob = "*." + "".join(f"[{c.lower()}{c.upper()}]" for c in suffix)
+    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(folder)
+    x = raw.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("source_file"), F.posexplode(F.split("value", "\f")).alias("k", "text"))
+    return x.where(F.trim("text") != "").select("source_file", (F.col("k") + 1).alias("page"), "text")
+
+
+def whole_texts(pages: DataFrame) -> DataFrame:
+    """Pages of a file joined in order by a blank."""
+    g = pages.groupBy("source_file").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("p"))
+    return g.select("source_file", F.array_join(F.transform("p", lambda x: x["text"]), " ").alias("text"))
+
+
+def append_events(events: DataFrame, folder: str) -> None:
+    """Appends events as JSON lines."""
+    events.write.mode("append").json(folder)
+
+
+def append_rows(rows: DataFrame, folder: str, fields: list[str]) -> None:
+    """Appends rows as CSV in the order of ``fields``; missing ones are N/A."""
+    cols = [F.coalesce(F.col(f).cast("string"), F.lit("N/A")).alias(f) if f in rows.columns else F.lit("N/A").alias(f) for f in fields]
+    rows.select(*cols).write.mode("append").option("header", True).csv(folder)
+
+
+def union_of_keys(parts: list[DataFrame]) -> DataFrame:
+    """Rows of all parts under the ordered union of their columns."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def next_version(df: DataFrame, root: str, version: int) -> str:
+    """Writes a table as a fresh version folder, which a reader is then pointed to (an upsert without in-place writes)."""
+    path = f"{root}/v{version:06d}"
+    df.write.mode("errorifexists").parquet(path)
+    return path
