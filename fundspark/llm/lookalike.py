@@ -86,39 +86,43 @@ def normal_form(text: str, look: bool = False) -> str:
     return " ".join(out.split())
 
 
-def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import hashlib
-
-    import pyarrow as pa
-
-    digest = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).digest()[:16]
-    for batch in batches:
-        values = batch.column(1).dictionary_encode()
-        words = values.dictionary.to_pylist()
-        flat = [normal_form(w) for w in words]
-        look = [normal_form(w, look=True) for w in words]
-        at = values.indices
-        yield pa.record_batch(
-            [
-                batch.column(0),
-                pa.array(flat, pa.string()).take(at),
-                pa.array([digest(a) if a else None for a in flat], pa.binary()).take(at),
-                pa.array([digest(b) if b else None for b in look], pa.binary()).take(at),
-                pa.array([digest(w) for w in words], pa.binary()).take(at),
-            ],
-            names=["id", "normal", "flat_key", "look_key", "stored_key"],
-        )
-
-
-def normalise(rows: DataFrame) -> DataFrame:
+def _forms(with_text: bool):
+    def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        import pyarrow as pa
+
+        digest = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).digest()[:16]
+        for batch in batches:
+            values = batch.column(1).dictionary_encode()
+            words = values.dictionary.to_pylist()
+            flat = [normal_form(w) for w in words]
+            look = [normal_form(w, look=True) for w in words]
+            at = values.indices
+            yield pa.record_batch(
+                [
+                    batch.column(0),
+                    pa.array(flat if with_text else [None] * len(flat), pa.string()).take(at),
+                    pa.array([digest(a) if a else None for a in flat], pa.binary()).take(at),
+                    pa.array([digest(b) if b else None for b in look], pa.binary()).take(at),
+                    pa.array([digest(w) for w in words], pa.binary()).take(at),
+                ],
+                names=["id", "normal", "flat_key", "look_key", "stored_key"],
+            )
+
+    return forms
+
+
+def normalise(rows: DataFrame, with_text: bool = True) -> DataFrame:
     """Of each row of ``rows`` (id, text; other columns are dropped): ``normal``, the consistent form, and 128-bit keys.
 
     ``flat_key`` is that of the consistent form, ``look_key`` that of the
     form which keeps what a reader can tell apart, ``stored_key`` that of the
     characters as stored. A null text gives nulls; a blank one gives the empty form and null keys of it.
+    Without ``with_text`` the form itself stays out (null), as where only keys are compared.
     No shuffle; each distinct value of a batch is normalised once.
     """
-    return rows.select("id", "text").mapInArrow(_forms, "id bigint, normal string, flat_key binary, look_key binary, stored_key binary")
+    return rows.select("id", "text").mapInArrow(_forms(with_text), "id bigint, normal string, flat_key binary, look_key binary, stored_key binary")
 
 
 def look_alike_pairs(rows: DataFrame) -> DataFrame:
@@ -127,7 +131,7 @@ def look_alike_pairs(rows: DataFrame) -> DataFrame:
     Rows meet on the key of the consistent form; the exact check on the
     looks follows in the same join. Only keys are shuffled, no texts; AQE splits a key that holds many rows.
     """
-    keys = normalise(rows).where(F.col("flat_key").isNotNull() & F.col("look_key").isNotNull()).select("id", "flat_key", "look_key", "stored_key")
+    keys = normalise(rows, with_text=False).where(F.col("flat_key").isNotNull() & F.col("look_key").isNotNull()).select("id", "flat_key", "look_key", "stored_key")
     a = keys.withColumnsRenamed({"id": "id_a", "stored_key": "stored_a"})
     b = keys.withColumnsRenamed({"id": "id_b", "stored_key": "stored_b"})
     pairs = a.join(b, ["flat_key", "look_key"]).where((F.col("id_a") < F.col("id_b")) & (F.col("stored_a") != F.col("stored_b")))

@@ -39,7 +39,7 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.over_limit(p2_pieces(spark, d))
+    return splitting.over_limit(splitting.split_sections(table(spark, d, "doc_sections"), table(spark, d, "chunking_config"), with_text=False))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -56,7 +56,7 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     for name in sorted({t for _, _, t in specs}):
         sizes = tokens.encode(spark, docs, name).select("doc_id", F.size("ids").alias("tokens"))
         parts.append(packing.pack(sizes, [(c, n) for c, n, t in specs if t == name], shards))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], packing.RESULT)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -78,4 +78,8 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "p2_found": """WITH s AS (SELECT section_id, length(text) AS n, COALESCE(c.child_size, d.child_size) AS child_size, COALESCE(c.parent_max_chars, d.parent_max_chars) AS parent_max_chars
+FROM doc_sections s LEFT JOIN chunking_config c ON s.config_code = c.config_code CROSS JOIN (SELECT * FROM chunking_config WHERE config_code = 'defaut') d)
+SELECT section_id, 'child_size' AS limit_name FROM s WHERE n > child_size UNION ALL SELECT section_id, 'parent_max_chars' FROM s WHERE n > parent_max_chars""",
+}

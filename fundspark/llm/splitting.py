@@ -13,6 +13,8 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fundspark.session import bounded_broadcast
+
 if TYPE_CHECKING:
     import pyarrow as pa
 
@@ -115,7 +117,7 @@ def pieces(text: str, size: int, overlap: int, parent_max: int) -> list[tuple[in
     return out
 
 
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _split(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
     import pyarrow as pa
 
     names = ["section_id", "parent_no", "piece_no", "begin", "end", "text"]
@@ -128,8 +130,8 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for key, text, size, overlap, most in zip(*(c.to_pylist() for c in batch.columns)):
             for k, (no, a, b) in enumerate(pieces(text or "", size, overlap, most)):
-                rows.append((key, no, k, a, b, text[a:b]))
-                chars += b - a
+                rows.append((key, no, k, a, b, text[a:b] if with_text else None))
+                chars += b - a if with_text else 100
                 if chars > 4_000_000:
                     yield send(rows)
                     rows, chars = [], 0
@@ -137,23 +139,24 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield send(rows)
 
 
-def split_sections(sections: DataFrame, configs: DataFrame) -> DataFrame:
+def split_sections(sections: DataFrame, configs: DataFrame, with_text: bool = True) -> DataFrame:
     """The pieces of each section, as RESULT; ``piece_no`` counts through the section.
 
     ``sections``: section_id, text, config_code; a null or unknown code means
     the default configuration. ``configs``: config_code, child_size,
     child_overlap, parent_max_chars, a small fixed table that is broadcast. Other
     columns are dropped. A null or empty text gives no row; a blank one is cut like any other. No shuffle.
+    Without ``with_text`` only the places of the pieces come out.
     """
     c = configs.groupBy(F.col("config_code").alias("_c")).agg(*[F.first(x).alias(x) for x in ("child_size", "child_overlap", "parent_max_chars")])
-    c = F.broadcast(c)
+    c = bounded_broadcast(c)
     own = sections.select("section_id", "text", "config_code").join(c, F.col("config_code") == F.col("_c"), "left").drop("_c")
     plain = F.broadcast(
         configs.where(F.col("config_code") == DEFAULT_CONFIG).limit(1).select(*[F.col(x).alias(f"_{x}") for x in ("child_size", "child_overlap", "parent_max_chars")])
     )
     x = own.join(plain, F.lit(True), "left")
     limits = [F.coalesce(n, f"_{n}", F.lit(v)).alias(n) for n, v in (("child_size", 800), ("child_overlap", 120), ("parent_max_chars", 12_000))]
-    return x.select(F.col("section_id").cast("bigint"), "text", *limits).mapInArrow(_split, RESULT)
+    return x.select(F.col("section_id").cast("bigint"), "text", *limits).mapInArrow(lambda batches: _split(batches, with_text), RESULT)
 
 
 def over_limit(parts: DataFrame) -> DataFrame:
