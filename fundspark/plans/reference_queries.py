@@ -434,7 +434,7 @@ def _values(s: SparkSession) -> DataFrame:
 query("to_decimal", "SELECT v, CAST(x AS DOUBLE) AS x FROM (VALUES ('2',0.02),('0.02',0.02),('2%',0.02),('2,5 %',0.025),('',NULL),('10 000 €',NULL),('10,000',0.1),('10,5',0.105),('1/2/2020',NULL),('2021-03-04',NULL),('True',NULL)) AS t(v, x)")(
     lambda s, d: r6(_values(s).select("v", scalars.to_decimal(F.col("v")).alias("x"))).withColumn("x", F.round("x", 6))
 )
-query("to_amount")(lambda s, d: _values(s).select("v", scalars.to_amount(F.col("v")).alias("x")))
+query("to_amount", "SELECT v, CAST(x AS DOUBLE) AS x FROM (VALUES ('2',2),('0.02',0.02),('2%',2),('2,5 %',2.5),('',NULL),('10 000 €',10000),('10,000',10000),('10,5',10.5),('1/2/2020',122020),('2021-03-04',NULL),('True',NULL)) AS t(v, x)")(lambda s, d: _values(s).select("v", scalars.to_amount(F.col("v")).alias("x")))
 query("parse_day", "SELECT * FROM (VALUES ('2',NULL),('0.02',NULL),('2%',NULL),('2,5 %',NULL),('',NULL),('10 000 €',NULL),('10,000',NULL),('10,5',NULL),('1/2/2020','2020-02-01'),('2021-03-04','2021-03-04'),('True',NULL)) AS t(v, x)")(
     lambda s, d: _values(s).select("v", scalars.parse_day(F.col("v")).cast("string").alias("x"))
 )

@@ -52,7 +52,7 @@ if __name__ == "__main__":
     spark.sparkContext.setLogLevel("OFF")
     sf, names = sys.argv[1], sys.argv[2:]
     for n, f in e.queries().items():
-        if names and n not in names or n.startswith("p") and n[1:2].isdigit():
+        if names and n not in names or not names and n.startswith("p") and n[1:2].isdigit():
             continue
         t = time.time()
         try:
