@@ -31,7 +31,7 @@ ALPHA, RUN_ALPHA = 1e-3, 1e-2
 #: A spike must also lie this many scales away: "far beyond the usual movement".
 FAR = 9.0
 #: Least number of equal dates that can be a frozen stretch.
-MIN_RUN = 5
+MIN_RUN = 6
 #: A value at least so many times the level on either side, or so many times below, can't be a price.
 IMPOSSIBLE_RATIO, IMPOSSIBLE_VALUE = 50.0, 9_999_999.0
 #: Rows of one source that go into one task; a larger source is cut into stretches of time.

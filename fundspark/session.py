@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +31,23 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package's code to the executors, once a context, so that their Python workers can import it wherever they run.
+
+    The archive is made on the driver and served by it (``addPyFile``).
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_fundspark_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="fundspark-code-")) / "fundspark.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"fundspark/{f.relative_to(root)}")
+    sc.addPyFile(str(archive))
+    sc._fundspark_shipped = True
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else as it is.
 
