@@ -1,7 +1,7 @@
 """Encoding of a whole corpus with a public byte-level BPE.
 
 A global distinct-word shuffle: documents are cut into pre-tokens in blocks,
-each block sends every distinct word once, with its positions; words meet on
+each block sends every distinct word once, and its sequence of word numbers; words meet on
 the shuffle by word and are encoded there once; ids return to their block and
 are put together by position. Decoding joins the table of token bytes.
 """
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 if TYPE_CHECKING:
+    import numpy as np
     import pyarrow as pa
 
 #: Folder of the public vocabulary files; a parameter of every operator here.
@@ -26,8 +27,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Characters of text in a block (a longer text makes a block of its own) and words whose ids a task remembers.
 BLOCK_CHARS, REMEMBERED_WORDS = 1_000_000, 1_000_000
 
-_BLOCKS = "block bigint, word string, places binary, docs array<bigint>"
-_CODED = "block bigint, places binary, ids binary, docs array<bigint>"
+# A row of a block's word: its number in the block. The block's own row (number -1): the numbers of its words in order, packed, and the words of each document.
+_BLOCKS = "block bigint, word string, no int, sequence binary, counts binary, docs array<bigint>"
+_CODED = "block bigint, no int, ids binary, sequence binary, counts binary, docs array<bigint>"
 
 
 def read_ranks(tokenizer: str, folder: str = TOKENIZER_DIR) -> bytes:
@@ -52,6 +54,24 @@ def _encoder(raw: bytes):
     return _ENCODERS[key]
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32 in little space: their bytes by rank, lowest first, deflated (numbers are by falling frequency, so high bytes are mostly 0)."""
+    import zlib
+
+    import numpy as np
+
+    return zlib.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    import zlib
+
+    import numpy as np
+
+    raw = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(raw.T).view("<u4").reshape(-1)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import numpy as np
     import pyarrow as pa
@@ -60,19 +80,22 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     find = regex.compile(PATTERN).findall
     block = TaskContext.get().partitionId() << 32
-    schema = pa.schema([("block", pa.int64()), ("word", pa.string()), ("places", pa.binary()), ("docs", pa.list_(pa.int64()))])
+    schema = pa.schema(
+        [("block", pa.int64()), ("word", pa.string()), ("no", pa.int32()), ("sequence", pa.binary()), ("counts", pa.binary()), ("docs", pa.list_(pa.int64()))]
+    )
 
     def send(docs: list, counts: list, known: dict, flat: list) -> pa.RecordBatch:
-        at = np.fromiter(flat, np.int32, len(flat))
-        order = np.argsort(at, kind="stable").astype(np.int32)
-        ends = np.cumsum(np.bincount(at, minlength=len(known)))[:-1] if known else []
-        places = [x.tobytes() for x in np.split(order, ends)] if known else []
-        # the block's own row has a key that no pre-token can have: a letterless mark next to digits
-        words = [f"\x00{block}", *known]
+        at = np.fromiter(flat, np.int64, len(flat))
+        order = np.argsort(-np.bincount(at, minlength=len(known)), kind="stable")
+        rank = np.empty(len(known), np.int64)
+        rank[order] = np.arange(len(known))
+        # the block's own row has a key that no pre-token can have: a mark right before digits
+        n = len(known)
         return pa.record_batch(
             [
-                pa.array([block] * len(words), pa.int64()), pa.array(words, pa.string()),
-                pa.array([np.array(counts, np.int32).tobytes(), *places], pa.binary()), pa.array([docs, *[None] * len(known)], pa.list_(pa.int64())),
+                pa.array([block] * (n + 1), pa.int64()), pa.array([f"\x00{block}", *known], pa.string()), pa.array(np.r_[-1, rank].astype(np.int32)),
+                pa.array([_packed(rank[at]), *[None] * n], pa.binary()), pa.array([np.array(counts, np.int32).tobytes(), *[None] * n], pa.binary()),
+                pa.array([docs, *[None] * n], pa.list_(pa.int64())),
             ],
             schema=schema,
         )
@@ -102,15 +125,18 @@ def _code_words(raw):
         known: dict[str, bytes] = {}
         for batch in batches:
             ids = []
-            for w in batch.column(1).to_pylist():
+            for w, no in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if no < 0:
+                    ids.append(None)
+                    continue
                 got = known.get(w)
                 if got is None:
                     if len(known) >= REMEMBERED_WORDS:
                         known.clear()
-                    got = b"" if w[0] == "\x00" and len(w) > 1 and w[1].isdigit() else np.array(one(w), np.int32).tobytes()
-                    known[w] = got
+                    got = known[w] = np.array(one(w), np.int32).tobytes()
                 ids.append(got)
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(ids, pa.binary()), batch.column(3)], names=["block", "places", "ids", "docs"])
+            cols = [batch.column(0), batch.column(2), pa.array(ids, pa.binary()), *batch.columns[3:]]
+            yield pa.record_batch(cols, names=["block", "no", "ids", "sequence", "counts", "docs"])
 
     return code
 
@@ -119,24 +145,21 @@ def _assemble(table: pa.Table) -> pa.Table:
     import numpy as np
     import pyarrow as pa
 
-    docs = table.column("docs")
-    own = docs.is_valid().to_pylist().index(True)
-    doc_ids = docs[own].as_py()
-    per_doc = np.frombuffer(table.column("places")[own].as_py(), np.int32)
-    n = int(per_doc.sum())
-    places = [np.frombuffer(x, np.int32) for x in table.column("places").to_pylist()]
-    ids = [np.frombuffer(x, np.int32) for x in table.column("ids").to_pylist()]
-    size = np.zeros(n, np.int32)
-    for k, (p, i) in enumerate(zip(places, ids)):
-        if k != own:
-            size[p] = len(i)
-    begin = np.r_[0, np.cumsum(size)]
-    flat = np.zeros(int(begin[-1]), np.int32)
-    for k, (p, i) in enumerate(zip(places, ids)):
-        if k != own:
-            at = begin[p]
-            for j, v in enumerate(i.tolist()):
-                flat[at + j] = v
+    no = table.column("no").to_numpy()
+    own = int(np.flatnonzero(no < 0)[0])
+    doc_ids = table.column("docs")[own].as_py()
+    per_doc = np.frombuffer(table.column("counts")[own].as_py(), np.int32)
+    sequence = _unpacked(table.column("sequence")[own].as_py())
+    coded = table.column("ids").combine_chunks()
+    size = np.zeros(len(no) - 1, np.int64)
+    words = np.flatnonzero(no >= 0)
+    parts = coded.take(pa.array(words[np.argsort(no[words])])).to_pylist()
+    size[:] = [len(x) // 4 for x in parts]
+    ids = np.frombuffer(b"".join(parts), np.int32)
+    start = np.cumsum(size) - size  # of each word's ids
+    long = size[sequence] if len(sequence) else np.zeros(0, np.int64)
+    begin = np.r_[0, np.cumsum(long)]
+    flat = ids[np.repeat(start[sequence] - begin[:-1], long) + np.arange(begin[-1])] if len(sequence) else np.zeros(0, np.int32)
     cuts = begin[np.r_[0, np.cumsum(per_doc)]].astype(np.int32)
     return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat, pa.int32()))})
 
@@ -151,7 +174,7 @@ def encode(spark: SparkSession, docs: DataFrame, tokenizer: str = "byte_bpe_50k"
     raw = spark.sparkContext.broadcast(read_ranks(tokenizer, folder))
     words = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_blocks, _BLOCKS)
     coded = words.repartition("word").mapInArrow(_code_words(raw), _CODED)
-    return coded.groupBy("block").applyInArrow(lambda t: _assemble(t.select(["places", "ids", "docs"])), "doc_id bigint, ids array<int>")
+    return coded.groupBy("block").applyInArrow(_assemble, "doc_id bigint, ids array<int>")
 
 
 def token_table(spark: SparkSession, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:
