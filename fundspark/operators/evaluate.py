@@ -39,6 +39,6 @@ def cyclic_next(x: DataFrame, order: str, value: str) -> DataFrame:
     """Each row with the value of the next one, the last with that of the first (a permuted control); rows are few questions."""
     w = Window.orderBy(order)
     n = x.select(order, value, F.row_number().over(w).alias("i"))
-    total = n.agg(F.count(F.lit(1)).alias("n"))
+    total = n.agg(F.count(F.lit(1))).scalar()
     shifted = n.select(F.col(value).alias("other"), F.col("i").alias("j"))
-    return n.join(F.broadcast(total)).join(shifted, F.col("j") == F.col("i") % F.col("n") + 1).select(order, value, "other")
+    return n.withColumn("n", total).join(shifted, F.col("j") == F.col("i") % F.col("n") + 1).select(order, value, "other")

@@ -54,8 +54,8 @@ def find_fund(sheets: DataFrame, query: str, most: int = 8) -> DataFrame:
     hits = sum((F.contains(name, F.lit(w)).cast("int") for w in words), F.lit(0))
     exact = F.upper("isin") == query.strip().upper()
     x = sheets.select("isin", "name", hits.alias("hits"), exact.alias("exact")).where((F.col("hits") > 0) | F.col("exact"))
-    top = x.agg(F.max("hits").alias("h"), F.max("exact").alias("e"))
-    x = x.join(F.broadcast(top)).where(F.when(F.col("e"), F.col("exact")).otherwise(F.col("hits") == F.col("h")))
+    some_exact, most_hits = x.agg(F.max("exact")).scalar(), x.agg(F.max("hits")).scalar()
+    x = x.where(F.when(some_exact, F.col("exact")).otherwise(F.col("hits") == most_hits))
     return x.select("isin", "name", F.col("hits").cast("int").alias("hits")).orderBy(F.desc("hits"), F.length(F.coalesce("name", F.lit(""))), F.desc("isin")).limit(most)
 
 

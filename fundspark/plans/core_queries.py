@@ -68,7 +68,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_moments(spark: SparkSession, d: str) -> DataFrame:
     """Each NAV date and prospectus date in one unambiguous form, or as unresolvable."""
-    moment = F.date_format(F.timestamp_seconds("utc_s"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    days, second = F.floor(F.col("utc_s") / 86_400).cast("int"), F.pmod("utc_s", F.lit(86_400))
+    clock = [F.floor(second / 3600), F.floor(second / 60) % 60, second % 60]
+    moment = F.format_string("%sT%02d:%02d:%02dZ", F.date_from_unix_date(days).cast("string"), *[c.cast("int") for c in clock])
     day = F.date_format("day_written", "yyyy-MM-dd")
     form = F.when(F.col("date_status") == "moment", moment).when(F.col("date_status") == "day", day)
     nav = _rows(spark, d).select(F.lit("nav.date").alias("field"), F.col("nav_id").alias("id"), "date_status", form.alias("normal"))
