@@ -151,12 +151,10 @@ def split_sections(sections: DataFrame, configs: DataFrame, with_text: bool = Tr
     c = configs.groupBy(F.col("config_code").alias("_c")).agg(*[F.first(x).alias(x) for x in ("child_size", "child_overlap", "parent_max_chars")])
     c = bounded_broadcast(c)
     own = sections.select("section_id", "text", "config_code").join(c, F.col("config_code") == F.col("_c"), "left").drop("_c")
-    plain = F.broadcast(
-        configs.where(F.col("config_code") == DEFAULT_CONFIG).limit(1).select(*[F.col(x).alias(f"_{x}") for x in ("child_size", "child_overlap", "parent_max_chars")])
-    )
-    x = own.join(plain, F.lit(True), "left")
-    limits = [F.coalesce(n, f"_{n}", F.lit(v)).alias(n) for n, v in (("child_size", 800), ("child_overlap", 120), ("parent_max_chars", 12_000))]
-    return x.select(F.col("section_id").cast("bigint"), "text", *limits).mapInArrow(lambda batches: _split(batches, with_text), RESULT)
+    names = ("child_size", "child_overlap", "parent_max_chars")
+    plain = configs.where(F.col("config_code") == DEFAULT_CONFIG).select(*names).first() or (800, 120, 12_000)
+    limits = [F.coalesce(n, F.lit(v)).alias(n) for n, v in zip(names, plain)]
+    return own.select(F.col("section_id").cast("bigint"), "text", *limits).mapInArrow(lambda batches: _split(batches, with_text), RESULT)
 
 
 def over_limit(parts: DataFrame) -> DataFrame:
