@@ -13,6 +13,7 @@ import math
 from statistics import NormalDist
 from typing import TYPE_CHECKING
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,10 +35,15 @@ FAR = 9.0
 MIN_RUN = 6
 #: A value at least so many times the level on either side, or so many times below, can't be a price.
 IMPOSSIBLE_RATIO, IMPOSSIBLE_VALUE = 50.0, 9_999_999.0
-#: Rows of one source that go into one task; a larger source is cut into stretches of time.
+#: Distinct reading times of one source that go into one task; a larger source is cut into stretches of time.
 SEGMENT_ROWS = 50_000
 
 RESULT = "nav_id bigint, isin string, at_s bigint, value double, kind string, score double"
+#: A judged reading; a part of a segmented source's figures; the figures of a whole segmented source.
+JUDGED = "isin string, at_s bigint, value double, kind string, score double"
+PART = "isin string, what string, part bigint, key bigint, until bigint, v double, n bigint"
+MOVEMENT = "isin string, scale double, season array<double>"
+STRETCHES = "isin string, least double, stretches array<struct<start:bigint,until:bigint,v:double,n:bigint>>"
 
 
 def gesd_limits(n: int, most: int, alpha: float = ALPHA) -> np.ndarray:
@@ -85,34 +91,73 @@ def _season(rest: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out
 
 
-def judge_segment(at_s: np.ndarray, value: np.ndarray, received: np.ndarray, ids: np.ndarray, decimals: np.ndarray, reach_s: float):
-    """(kind, score) of each row of one source segment; kind is '', 'impossible', 'spike' or 'frozen'.
+def _least_run(length: np.ndarray, n: np.ndarray) -> float:
+    """Least length of a frozen stretch, among ``n`` stretches of each ``length``; infinite if none is frozen."""
+    least = math.inf
+    while True:  # the natural rate of repeats is that of the stretches not found frozen
+        rest = length < least
+        p = (((length - 1) * n)[rest].sum() + 0.5) / ((length * n)[rest].sum() + 1)
+        found = (length >= least) | ((length >= MIN_RUN) & (n.sum() * p ** (length - 1.0) < RUN_ALPHA))
+        now = float(length[found].min()) if found.any() else math.inf
+        if now == least:
+            return least
+        least = now
 
-    Repeated deliveries share a slot (the day; the moment for a source with
-    more than two readings a day); the delivery received last speaks for it, and every row is
-    judged by its own value. Order of the rows doesn't matter.
-    """
+
+def _runs(slot: np.ndarray, value: np.ndarray, received: np.ndarray, ids: np.ndarray, calm: np.ndarray):
+    """(first slot, last slot, value, length) of the runs of equal values over the first deliveries (a correction that comes later doesn't end a run)."""
+    import numpy as np
+    if not len(calm):
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0, int)
+    order = calm[np.lexsort((ids[calm], received[calm], slot[calm]))]
+    r = order[np.r_[True, slot[order][1:] != slot[order][:-1]]]
+    at, v = slot[r], value[r]
+    start = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+    length = np.diff(np.r_[start, len(v)])
+    return at[start], at[start + length - 1], v[start], length
+
+
+def _slots(at_s: np.ndarray, dense: bool | None):
+    """Slot of each reading (its day, or its moment in a dense source), and whether the source is dense."""
     import numpy as np
-    n = len(value)
-    kind, score = np.full(n, "", dtype=object), np.zeros(n)
     day = at_s // DAY_S
-    dense = len(np.unique(at_s)) > 2 * max(len(np.unique(day)), 1)
-    slot = at_s if dense else day * DAY_S
+    if dense is None:
+        dense = len(np.unique(at_s)) > 2 * max(len(np.unique(day)), 1)
+    return (at_s if dense else day * DAY_S), dense
+
+
+def _representatives(slot, value, received, ids):
+    """Whether each value is impossible by itself, the good rows, and the good row received last of each slot."""
+    import numpy as np
     bad = ~(value > 0) | (value >= IMPOSSIBLE_VALUE)
-    kind[bad] = "impossible"
     good = np.flatnonzero(~bad)
+    order = good[np.lexsort((-ids[good], -received[good], slot[good]))]
+    return bad, good, order[np.r_[True, slot[order][1:] != slot[order][:-1]]] if len(order) else order
+
+
+def _season_key(at: np.ndarray, dense: bool) -> np.ndarray:
+    return (at // 3600) % 24 if dense else (at // DAY_S) % 7
+
+
+def _judge_values(slot, dense, value, received, ids, decimals, reach_s: float, movement=None):
+    """(kind, score) by value alone: '', 'impossible' or 'spike'. ``movement``: scale and season of the whole source, where this is a part of it."""
+    import numpy as np
+    n = len(value)
+    kind, score = np.full(n, "", dtype=object), np.zeros(n)
+    bad, good, rep = _representatives(slot, value, received, ids)
+    kind[bad] = "impossible"
     if not len(good):
         return kind, score
-    order = good[np.lexsort((-ids[good], -received[good], slot[good]))]
-    rep = order[np.r_[True, slot[order][1:] != slot[order][:-1]]]
     at, x = slot[rep], np.log(value[rep])
     before, after = _level(x, at, reach_s, True), _level(x, at, reach_s, False)
-    step = np.diff(x)
-    scale = 1.4826 * np.median(np.abs(step - np.median(step))) if len(step) > 1 else 0.0
-    tick = 0.5 * 10.0 ** -decimals[rep].max() / np.exp(np.median(x))
-    scale = max(scale, tick, 1e-9)
-    rest = x - (before + after) / 2
-    season = _season(rest, (at // 3600) % 24 if dense else (at // DAY_S) % 7)
+    if movement:
+        scale, season = movement[0], np.asarray(movement[1])[_season_key(at, dense)]
+    else:
+        step = np.diff(x)
+        scale = 1.4826 * np.median(np.abs(step - np.median(step))) if len(step) > 1 else 0.0
+        tick = 0.5 * 10.0 ** -decimals[rep].max() / np.exp(np.median(x))
+        scale = max(scale, tick, 1e-9)
+        season = _season(x - (before + after) / 2, _season_key(at, dense))
     where = np.searchsorted(at, slot[good])
     y = np.log(value[good]) - season[where]
     b, a = before[where], after[where]
@@ -125,7 +170,7 @@ def judge_segment(at_s: np.ndarray, value: np.ndarray, received: np.ndarray, ids
     wild &= ~(np.isnan(a) & np.isnan(b))
     brief = two & (up * down > 0) & (np.abs(a - b) < 0.5 * dev)
     z = np.where(brief, dev / scale, 0.0)
-    # generalised ESD: the r-th largest studentised remainder against the r-th limit
+    # generalised ESD: the r-th largest studentised remainder against the r-th limit (a limit never reaches FAR, so parts of a source need no common ranks)
     rank = np.argsort(-z, kind="stable")
     most = int((z > 3).sum())
     count = 0
@@ -139,80 +184,236 @@ def judge_segment(at_s: np.ndarray, value: np.ndarray, received: np.ndarray, ids
     kind[good[spike]] = "spike"
     kind[good[wild & ~spike]] = "impossible"
     score[good] = z
-    # frozen stretches, over the first deliveries (a correction that comes later doesn't end a stretch)
-    calm = np.flatnonzero(kind == "")
-    order = calm[np.lexsort((ids[calm], received[calm], slot[calm]))]
-    if len(order) > 1:
-        r = order[np.r_[True, slot[order][1:] != slot[order][:-1]]]
-        at, v = slot[r], value[r]
-        start = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
-        length = np.diff(np.r_[start, len(v)])
-        frozen = np.zeros(len(length), bool)
-        while True:  # the natural rate of repeats is that of the stretches not found frozen
-            p = ((length[~frozen] - 1).sum() + 0.5) / (length[~frozen].sum() + 1)
-            found = frozen | ((length >= MIN_RUN) & (len(length) * p ** (length - 1.0) < RUN_ALPHA))
-            if (found == frozen).all():
-                break
-            frozen = found
-        for s, k in zip(start[frozen], length[frozen]):
-            inside = (slot > at[s]) & (slot <= at[s + k - 1]) & (value == v[s])
-            kind[inside] = "frozen"
-            score[inside] = k
     return kind, score
 
 
-def _judge(table: pa.Table) -> pa.Table:
-    import numpy as np
+def _freeze(kind, score, slot, value, stretches) -> None:
+    for start, until, v, k in stretches:
+        inside = (slot > start) & (slot <= until) & (value == v)
+        kind[inside] = "frozen"
+        score[inside] = k
+
+
+def judge_segment(at_s: np.ndarray, value: np.ndarray, received: np.ndarray, ids: np.ndarray, decimals: np.ndarray, reach_s: float, first: tuple | None = None, dense: bool | None = None):
+    """(kind, score) of each row of one whole source; kind is '', 'impossible', 'spike' or 'frozen'.
+
+    Repeated deliveries share a slot (the day; the moment for a source with
+    more than two readings a day); the delivery received last speaks for it, and every row is
+    judged by its own value. Order of the rows doesn't matter. ``first``: received and id of the first delivery, where a row stands for several.
+    """
+    slot, dense = _slots(at_s, dense)
+    kind, score = _judge_values(slot, dense, value, received, ids, decimals, reach_s)
+    start, until, v, length = _runs(slot, value, *(first or (received, ids)), (kind == "").nonzero()[0])
+    if len(length):
+        frozen = length >= _least_run(length, length * 0 + 1)
+        _freeze(kind, score, slot, value, zip(start[frozen], until[frozen], v[frozen], length[frozen]))
+    return kind, score
+
+
+def _columns(table: pa.Table):
+    return {c: table.column(c).to_numpy(zero_copy_only=False) for c in table.column_names if c not in ("isin", "reach_s", "dense", "segment_s")} | {
+        "isin": table.column("isin")[0].as_py(), "reach_s": float(table.column("reach_s")[0].as_py()), "dense": bool(table.column("dense")[0].as_py()),
+    }
+
+
+def _judged(c: dict, kind: np.ndarray, score: np.ndarray, pick: np.ndarray) -> pa.Table:
     import pyarrow as pa
-    col = lambda c: table.column(c).to_numpy(zero_copy_only=False)
-    at, own = col("at_s"), col("own")
-    kind, score = judge_segment(at, col("value"), col("received_s"), col("nav_id"), col("decimals"), float(col("reach_s")[0]))
-    pick = np.flatnonzero((kind != "") & own)
     return pa.table(
         {
-            "nav_id": table.column("nav_id").take(pick), "isin": table.column("isin").take(pick), "at_s": table.column("at_s").take(pick),
-            "value": table.column("value").take(pick), "kind": pa.array(kind[pick], pa.string()), "score": pa.array(score[pick]),
+            "isin": pa.array([c["isin"]] * len(pick), pa.string()), "at_s": pa.array(c["at_s"][pick], pa.int64()), "value": pa.array(c["value"][pick], pa.float64()),
+            "kind": pa.array(kind[pick], pa.string()), "score": pa.array(score[pick], pa.float64()),
         }
     )
 
 
-def source_extent(nav: DataFrame) -> DataFrame:
-    """Per isin, from two columns only: ``reach_s`` (how far neighbours may lie) and ``segment_s`` (length of a segment).
+def _judge_whole(table: pa.Table) -> pa.Table:
+    c = _columns(table)
+    kind, score = judge_segment(c["at_s"], c["value"], c["last_s"], c["last_id"], c["decimals"], c["reach_s"], (c["first_s"], c["first_id"]), c["dense"])
+    return _judged(c, kind, score, (kind != "").nonzero()[0])
 
-    The reach is 60 average distances between rows, at least 10 days. A
-    source of more than SEGMENT_ROWS rows is cut into stretches of so many
-    rows on average, never shorter than four reaches; others stay whole.
+
+def _rounded(v: np.ndarray) -> np.ndarray:
+    """To 20 binary digits, so that counts by value stay small."""
+    import numpy as np
+    return ((np.asarray(v, float).view(np.int64) + (1 << 31)) & ~((1 << 32) - 1)).view(float)
+
+
+def _part(isin: str, rows: list[tuple]) -> pa.Table:
+    import pyarrow as pa
+    names = ("what", "part", "key", "until", "v", "n")
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
+    return pa.table({"isin": pa.array([isin] * len(rows), pa.string())} | {k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate(zip(names, kinds))})
+
+
+def _movement_part(table: pa.Table) -> pa.Table:
+    """Counts of a segment's own steps, logarithms and remainders by season, and its first and last reading."""
+    import numpy as np
+    c = _columns(table)
+    segment = int(c["segment"][0])
+    slot, dense = _slots(c["at_s"], c["dense"])
+    _, _, rep = _representatives(slot, c["value"], c["last_s"], c["last_id"])
+    at, x, own = slot[rep], np.log(c["value"][rep]), c["own"][rep].astype(bool)
+    rest = x - (_level(x, at, c["reach_s"], True) + _level(x, at, c["reach_s"], False)) / 2
+    rows = []
+
+    def counts(what: str, key: int, v: np.ndarray) -> None:
+        rows.extend((what, 0, key, 0, float(a), int(b)) for a, b in zip(*np.unique(_rounded(v), return_counts=True)))
+
+    if own.any():
+        mine, when = x[own], at[own]
+        counts("step", 0, np.diff(mine))
+        counts("x", 0, mine)
+        key = _season_key(at, dense)
+        for k in np.unique(key[own]):
+            counts("rest", int(k), rest[own & (key == k) & ~np.isnan(rest)])
+        rows.append(("decimals", segment, 0, 0, float(c["decimals"][rep][own].max()), 1))
+        rows.extend(("edge", segment, int(when[i]), 0, float(mine[i]), 1) for i in dict.fromkeys((0, len(when) - 1)))
+    return _part(c["isin"], rows)
+
+
+def _weighted_median(v: np.ndarray, n: np.ndarray) -> float:
+    import numpy as np
+    o = np.argsort(v, kind="stable")
+    v, upto = v[o], np.cumsum(n[o])
+    lo, hi = np.searchsorted(upto, [(upto[-1] - 1) // 2, upto[-1] // 2], side="right")
+    return float((v[lo] + v[hi]) / 2)
+
+
+def _movement(table: pa.Table) -> pa.Table:
+    """Scale and season of a whole source from its segments' counts."""
+    import numpy as np
+    import pyarrow as pa
+    what, part, key, v, n = (table.column(c).to_numpy(zero_copy_only=False) for c in ("what", "part", "key", "v", "n"))
+    edge = np.flatnonzero(what == "edge")
+    edge = edge[np.argsort(key[edge])]
+    across = part[edge][1:] != part[edge][:-1]  # from one segment's last reading to the next one's first
+    step = np.r_[v[what == "step"], np.diff(v[edge])[across]]
+    times = np.r_[n[what == "step"], np.ones(int(across.sum()), int)]
+    scale = 0.0
+    if times.sum() > 1:
+        scale = 1.4826 * _weighted_median(np.abs(step - _weighted_median(step, times)), times)
+    tick = 0.5 * 10.0 ** -v[what == "decimals"].max() / math.exp(_weighted_median(v[what == "x"], n[what == "x"]))
+    season = np.zeros(24)
+    for k in range(24):
+        of = (what == "rest") & (key == k)
+        if n[of].sum() >= 20:
+            season[k] = _weighted_median(v[of], n[of])
+    return pa.table({"isin": table.column("isin").slice(0, 1), "scale": [max(scale, tick, 1e-9)], "season": pa.array([season.tolist()], pa.list_(pa.float64()))})
+
+
+def _own_runs(c: dict, movement: tuple):
+    """Slots, verdicts by value, and runs of a segment's own readings."""
+    slot, dense = _slots(c["at_s"], c["dense"])
+    kind, score = _judge_values(slot, dense, c["value"], c["last_s"], c["last_id"], c["decimals"], c["reach_s"], movement)
+    own = c["own"].astype(bool)
+    return slot, kind, score, own, _runs(slot, c["value"], c["first_s"], c["first_id"], (own & (kind == "")).nonzero()[0])
+
+
+def _stretches(table: pa.Table) -> pa.Table:
+    """Least length of a frozen stretch of a whole source, and the frozen stretches that begin or end a segment, joined over the cuts."""
+    import numpy as np
+    import pyarrow as pa
+    rows = table.to_pylist()
+    joined: list[list] = []
+    last = None
+    for r in sorted((r for r in rows if r["what"] == "edge"), key=lambda r: r["key"]):
+        if joined and last != r["part"] and joined[-1][2] == r["v"]:
+            joined[-1][1], joined[-1][3] = r["until"], joined[-1][3] + r["n"]
+        else:
+            joined.append([r["key"], r["until"], r["v"], r["n"]])
+        last = r["part"]
+    inner = [r for r in rows if r["what"] == "run"]
+    least = _least_run(np.array([r["key"] for r in inner] + [j[3] for j in joined]), np.array([r["n"] for r in inner] + [1] * len(joined)))
+    frozen = [dict(zip(("start", "until", "v", "n"), j)) for j in joined if j[3] >= least]
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("until", pa.int64()), ("v", pa.float64()), ("n", pa.int64())]))
+    return pa.table({"isin": table.column("isin").slice(0, 1), "least": [least], "stretches": pa.array([frozen], kind)})
+
+
+def source_extent(x: DataFrame) -> DataFrame:
+    """Per isin of readable rows: ``reach_s`` (how far neighbours may lie), ``dense`` and ``segment_s`` (length of a segment, null for a source that stays whole).
+
+    All come from the distinct reading times, so that copies and repeated
+    deliveries count once. The reach is 60 average distances between slots, at least 10
+    days. A source of more than SEGMENT_ROWS distinct times is cut into stretches of whole days
+    with so many on average, never shorter than four reaches.
     """
-    received = F.col("received_at").cast("timestamp")
-    span = F.unix_seconds(F.max(received)) - F.unix_seconds(F.min(received))
-    stats = nav.groupBy("isin").agg(F.count(F.lit(1)).alias("n"), F.coalesce(span, F.lit(0)).alias("span_s"))
-    reach = F.greatest(F.lit(10.0 * DAY_S), 60.0 * F.col("span_s") / F.col("n"))
-    return stats.select(
-        F.col("isin").alias("_isin2"),
-        reach.alias("reach_s"),
-        F.when(F.col("n") > SEGMENT_ROWS, F.greatest(F.col("span_s") * SEGMENT_ROWS / F.col("n"), 4 * reach)).alias("segment_s"),
-    )
+    times = x.select("isin", F.floor(F.col("at_s") / DAY_S).alias("day"), "at_s").distinct()
+    days = times.groupBy("isin", "day").agg(F.count(F.lit(1)).alias("n"), F.min("at_s").alias("lo"), F.max("at_s").alias("hi"))
+    stats = days.groupBy("isin").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("days"), (F.max("hi") - F.min("lo")).alias("span_s"))
+    dense = F.col("n") > 2 * F.col("days")
+    stats = stats.withColumn("dense", dense).withColumn("reach_s", F.greatest(F.lit(10.0 * DAY_S), 60.0 * F.col("span_s") / F.when(dense, F.col("n")).otherwise(F.col("days"))))
+    length = F.greatest(F.col("span_s") * SEGMENT_ROWS / F.col("n"), 4 * F.col("reach_s"))
+    return stats.select(F.col("isin").alias("_isin2"), "reach_s", "dense", F.when(F.col("n") > SEGMENT_ROWS, F.ceil(length / DAY_S) * DAY_S).alias("segment_s"))
+
+
+def _judge_cut(x: DataFrame) -> DataFrame:
+    """Verdicts on the readings of sources that are cut, as JUDGED.
+
+    Each stretch has a margin on both sides so that cutting doesn't change a
+    reading's neighbours. Scale, season and natural rate of repeats are the
+    whole source's, from counts that the stretches give; stretches get them by a broadcast of a
+    row for each such source (one in SEGMENT_ROWS readings at most).
+    """
+    spark = x.sparkSession
+    home = F.floor(F.col("at_s") / F.col("segment_s"))
+    margin = F.col("reach_s") + DAY_S
+    low, high = F.floor((F.col("at_s") - margin) / F.col("segment_s")), F.floor((F.col("at_s") + margin) / F.col("segment_s"))
+    x = x.withColumn("_home", home).withColumn("segment", F.explode(F.array_distinct(F.array(home, low, high))))
+    x = x.withColumn("own", F.col("segment") == F.col("_home")).drop("_home", "segment_s")
+    x = x.repartition("isin", "segment").persist(StorageLevel.MEMORY_AND_DISK)
+    key = ("isin", "what", "part", "key", "until", "v")
+    parts = x.groupBy("isin", "segment").applyInArrow(_movement_part, PART).groupBy(*key).agg(F.sum("n").alias("n"))
+    movement = spark.sparkContext.broadcast({r.isin: (r.scale, r.season) for r in parts.groupBy("isin").applyInArrow(_movement, MOVEMENT).collect()})
+
+    def runs(table: pa.Table) -> pa.Table:
+        import numpy as np
+        c = _columns(table)
+        start, until, v, length = _own_runs(c, movement.value.get(c["isin"]))[-1]
+        edges = [("edge", int(c["segment"][0]), int(start[i]), int(until[i]), float(v[i]), int(length[i])) for i in dict.fromkeys((0, len(start) - 1))] if len(start) else []
+        return _part(c["isin"], edges + [("run", 0, int(k), 0, 0.0, int(n)) for k, n in zip(*np.unique(length[1:-1], return_counts=True))])
+
+    parts = x.groupBy("isin", "segment").applyInArrow(runs, PART).groupBy(*key).agg(F.sum("n").alias("n"))
+    found = spark.sparkContext.broadcast({r.isin: (r.least, [tuple(s) for s in r.stretches]) for r in parts.groupBy("isin").applyInArrow(_stretches, STRETCHES).collect()})
+
+    def judge(table: pa.Table) -> pa.Table:
+        c = _columns(table)
+        slot, kind, score, own, (start, until, v, length) = _own_runs(c, movement.value.get(c["isin"]))
+        least, stretches = found.value.get(c["isin"], (math.inf, []))
+        _freeze(kind, score, slot, c["value"], [(a, b, w, k) for a, b, w, k in zip(start[1:-1], until[1:-1], v[1:-1], length[1:-1]) if k >= least] + stretches)
+        return _judged(c, kind, score, ((kind != "") & own).nonzero()[0])
+
+    return x.groupBy("isin", "segment").applyInArrow(judge, JUDGED)
+
+
+def _readings(x: DataFrame, extent: DataFrame) -> DataFrame:
+    """A row for each isin, time and value, with its first and last delivery and the source's extent."""
+    one = x.groupBy("isin", "at_s", "value").agg(F.max(F.struct("received_s", "nav_id", "decimals")).alias("z"), F.min(F.struct("received_s", "nav_id")).alias("a"))
+    one = one.select(
+        "isin", "at_s", "value", F.col("z.received_s").alias("last_s"), F.col("z.nav_id").alias("last_id"), F.col("z.decimals").alias("decimals"),
+        F.col("a.received_s").alias("first_s"), F.col("a.nav_id").alias("first_id"),
+    )
+    return one.join(extent, F.col("isin") == F.col("_isin2")).drop("_isin2")
 
 
 def implausible(rows: DataFrame, nav: DataFrame) -> DataFrame:
     """Implausible readings among ``rows`` (of ``nav_rows``, with ``received_at`` and ``nav``), as RESULT.
 
-    One shuffle, on (isin, segment): a source with any share of the rows is
-    cut into stretches of time, each with a margin of ``reach_s`` on both
-    sides so that cutting doesn't change a row's neighbours; scale, season
-    and limits are the stretch's own. Rows that aren't readable, or of a null
-    isin, never come out; repeated rows are judged alike.
+    Readable rows are kept, since the extents, the readings and the result
+    read them. Rows of one isin, time and value get one verdict, so they are judged as one reading
+    (with its first and last delivery) and copies of any number don't meet in a task; a source of very
+    many distinct times is cut into stretches. Rows that aren't readable, or of a null
+    isin, never come out; repeated rows are judged alike. ``nav`` isn't read.
     """
-    extent = small_side(source_extent(nav))
     x = readable(rows).where(F.col("isin").isNotNull())
-    x = x.join(extent, F.col("isin") == F.col("_isin2"), "left")
-    home = F.coalesce(F.floor(F.col("at_s") / F.col("segment_s")), F.lit(0))
-    low = F.floor((F.col("at_s") - F.col("reach_s")) / F.col("segment_s"))
-    high = F.floor((F.col("at_s") + F.col("reach_s")) / F.col("segment_s"))
-    segments = F.when(F.col("segment_s").isNull() | (low == high), F.array(home)).otherwise(F.array_distinct(F.array(home, low, high)))
     x = x.select(
         "nav_id", "isin", "at_s", "value", F.coalesce(F.unix_micros(F.col("received_at").cast("timestamp")), F.lit(0)).alias("received_s"),
-        F.length(F.regexp_extract(F.trim("nav"), r"[.,](\d+)$", 1)).alias("decimals"), "reach_s", home.alias("_home"), F.explode(segments).alias("segment"),
-    )
-    x = x.withColumn("own", F.col("segment") == F.col("_home")).drop("_home")
-    return x.groupBy("isin", "segment").applyInArrow(_judge, RESULT)
+        F.length(F.regexp_extract(F.trim("nav"), r"[.,](\d+)$", 1)).alias("decimals"),
+    ).persist(StorageLevel.MEMORY_AND_DISK)
+    extent = small_side(source_extent(x))
+    cut = extent.where(F.col("segment_s").isNotNull()).select(F.col("_isin2").alias("isin"))
+    if cut.limit(1).count():
+        whole, cut = x.join(F.broadcast(cut), "isin", "left_anti"), x.join(F.broadcast(cut), "isin", "left_semi")
+        judged = _readings(whole, extent).groupBy("isin").applyInArrow(_judge_whole, JUDGED).unionByName(_judge_cut(_readings(cut, extent)))
+    else:
+        judged = _readings(x, extent).groupBy("isin").applyInArrow(_judge_whole, JUDGED)
+    return x.join(small_side(judged), ["isin", "at_s", "value"]).select("nav_id", "isin", "at_s", "value", "kind", "score")

@@ -136,6 +136,35 @@ def test_segments_do_not_change_a_verdict(spark, monkeypatch):
     assert whole == cut == set(range(40, 900, 97))
 
 
+def test_copies_and_one_batch_change_no_verdict(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    v = list(100 * np.exp(np.cumsum(rng.normal(0, 0.01, 90))))
+    v[30] *= 1.9
+    v[60] *= 80
+    cells = [(k, "M", (date(2012, 1, 5) + timedelta(days=30 * k)).strftime("%d/%m/%Y"), f"{x:.4f}", "f1", 0) for k, x in enumerate(v)]
+    copies = [(1000 * n + c[0], *c[1:]) for c in cells for n in range(1, 40)]
+    want = {(30, "spike"), (60, "spike")}
+    for limit in (50_000, 500):  # more rows than the limit, fewer times
+        monkeypatch.setattr(spikes, "SEGMENT_ROWS", limit)
+        rows, nav = rows_of(spark, cells + copies)
+        got = [(r.nav_id % 1000, r.kind) for r in spikes.implausible(rows, nav).collect()]
+        assert set(got) == want and len(got) == 80
+
+
+def test_cut_sources_have_the_whole_source_s_scale_and_runs(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    sd = np.where(np.arange(1500) < 1000, 0.001, 0.02)  # a stretch of its own would have another scale
+    v = 100 * np.exp(np.cumsum(rng.normal(0, 1, 1500) * sd))
+    v[1200] *= 1.08
+    v[100:1450:50] *= 1.015
+    v[401:1000] = v[401]  # over several cuts
+    rows, nav = rows_of(spark, series_cells(v, start=date(2018, 1, 1)))
+    whole = {(r.nav_id, r.kind, round(r.score, 2)) for r in spikes.implausible(rows, nav).collect()}
+    assert sum(k == "frozen" for _, k, _ in whole) == 598 and any(k == "spike" for _, k, _ in whole)
+    monkeypatch.setattr(spikes, "SEGMENT_ROWS", 250)
+    assert {(r.nav_id, r.kind, round(r.score, 2)) for r in spikes.implausible(rows, nav).collect()} == whole
+
+
 def test_grid(spark):
     cells = [
         (1, "D", "03/01/2022 12:00:00", "10", "f1"), (2, "D", "03/01/2022 18:00:00", "20", "f1"), (3, "D", "06/01/2022 00:00:00", "30", "f1"), (4, "D", "10/01/2022", "40", "f1"),
