@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fundspark.functions.scalars import chunk_id
+from fundspark.session import bounded_broadcast
 
 if TYPE_CHECKING:
     import pyarrow as pa
 
 # Separators from coarse to fine, and the usual sizes.
 SEPARATORS = ("\n\n", "\n", ". ", "? ", "! ", "; ", ", ", " ", "")
-SIZE, OVERLAP = 800, 120
+SIZE, OVERLAP, DEFAULT_CONFIG = 800, 120, "defaut"
 
 
 def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
@@ -57,19 +58,27 @@ def _join(cuts: list[str], size: int, overlap: int) -> list[str]:
     return [x for x in out if x]
 
 
-def child_chunks(sections: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """(id, parent_id, source_file, section_index, child_index, text) of sections (source_file, section_index, text). Row-wise, without a shuffle; null and blank texts give none."""
+def child_chunks(sections: DataFrame, configs: DataFrame) -> DataFrame:
+    """(id, parent_id, source_file, section_index, child_index, text) of sections (source_file, section_index, text, config_code). Row-wise, without a shuffle; null and blank texts give none.
+
+    ``configs``: config_code, child_size, child_overlap, a small fixed table that is broadcast. A null or unknown code means the default configuration.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
 
         for batch in batches:
-            rows = [(f, i, k, x) for f, i, t in zip(*(c.to_pylist() for c in batch.columns)) if t for k, x in enumerate(split_text(t, size, overlap))]
+            rows = [(f, i, k, x) for f, i, t, size, overlap in zip(*(c.to_pylist() for c in batch.columns)) if t for k, x in enumerate(split_text(t, size, overlap))]
             cols = list(zip(*rows)) or [(), (), (), ()]
             types = (pa.string(), pa.int32(), pa.int32(), pa.string())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types)], names=["source_file", "section_index", "child_index", "text"])
 
-    x = sections.select("source_file", F.col("section_index").cast("int").alias("section_index"), "text")
+    names = ("child_size", "child_overlap")
+    plain = configs.where(F.col("config_code") == DEFAULT_CONFIG).select(*names).first() or (SIZE, OVERLAP)
+    own = bounded_broadcast(configs.groupBy(F.col("config_code").alias("_c")).agg(*[F.first(n).alias(n) for n in names]))
+    x = sections.join(own, F.col("config_code") == F.col("_c"), "left")
+    limits = [F.coalesce(n, F.lit(v)).alias(n) for n, v in zip(names, plain)]
+    x = x.select("source_file", F.col("section_index").cast("int").alias("section_index"), "text", *limits)
     x = x.mapInArrow(cut, "source_file string, section_index int, child_index int, text string")
     return x.select(
         chunk_id(F.col("source_file"), "c", F.col("section_index"), F.col("child_index")).alias("id"),

@@ -317,7 +317,7 @@ query("dehyphenate", "SELECT page_id, CAST(length(regexp_replace(replace(text, c
 )
 query("sections")(lambda s, d: chunking.sections(table(s, d, "page_text").where("source_file is not null and text is not null")))
 query("parent_chunks")(lambda s, d: chunking.parent_chunks(chunking.sections(table(s, d, "page_text").where("source_file is not null and text is not null"))))
-query("child_chunks")(lambda s, d: children.child_chunks(table(s, d, "doc_sections").where("source_file is not null and section_index is not null")))
+query("child_chunks")(lambda s, d: children.child_chunks(table(s, d, "doc_sections").where("source_file is not null and section_index is not null"), table(s, d, "chunking_config")))
 
 # Gates, loop and evaluation ------------------------------------------------------------------------------------------------------------
 query("metric_intent", "SELECT doc_id, " + " OR ".join(f"contains(lower(text),'{w}')" for w in gate.METRIC_WORDS) + " AS intent FROM documents WHERE text IS NOT NULL")(

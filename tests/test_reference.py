@@ -256,3 +256,16 @@ def test_sinks(spark, tmp_path):
     assert sorted(r.v for r in readers.upsert(old, spark.createDataFrame([(2, "c"), (3, "d")], "id int, v string")).collect()) == ["a", "c", "d"]
     assert readers.delete_ids(old, old.where("id = 1")).count() == 1 and readers.flatten(old.select(F.struct("id").alias("s"))).first().s == '{"id":1}'
     assert spark.read.parquet(readers.next_version(old, str(tmp_path / "t"), 1)).count() == 2
+
+
+def test_child_chunks_follow_each_section_s_configuration(spark):
+    from fundspark.operators.children import child_chunks, split_text
+
+    text = " ".join(f"Sentence number {k} of the section." for k in range(120))
+    sizes = {"defaut": (800, 120), "court": (220, 40), "large": (1500, 200)}
+    configs = spark.createDataFrame([(c, *n) for c, n in sizes.items()], "config_code string, child_size int, child_overlap int")
+    codes = ["court", "large", None, "other", "defaut"]
+    secs = spark.createDataFrame([("f", i, text, c) for i, c in enumerate(codes)], "source_file string, section_index int, text string, config_code string")
+    got = child_chunks(secs, configs).orderBy("section_index", "child_index").collect()
+    for i, c in enumerate(codes):
+        assert [r.text for r in got if r.section_index == i] == split_text(text, *sizes.get(c, sizes["defaut"]))
