@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from datetime import datetime, timedelta, timezone
 from functools import lru_cache
 from zoneinfo import ZoneInfo, available_timezones
@@ -10,9 +9,11 @@ from zoneinfo import ZoneInfo, available_timezones
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FIRST_YEAR, LAST_YEAR = 1970, 2040
+#: The years that the date notations can give.
+FIRST_YEAR, LAST_YEAR = 1900, 2199
 _STEP_S = 10 * 86_400
 
+
 def _offset(zone: ZoneInfo, utc_s: int) -> int:
     at = datetime.fromtimestamp(utc_s, timezone.utc)
     return int(at.astimezone(zone).utcoffset().total_seconds())
@@ -70,22 +71,18 @@ def named_zones() -> tuple[str, ...]:
 def zone_intervals(spark: SparkSession, names: tuple[str, ...] | None = None) -> DataFrame:
     """The intervals of each zone, exploded by local year: zone, year and from, to, offset of the 1st, 2nd ... interval of that year.
 
-    Its size is zones x 71 short rows whatever the data, so it may always be
+    Its size is zones x 300 short rows whatever the data, so it may always be
     broadcast. ``names`` (default: all IANA zones) must be IANA names.
     """
     rows = _rows(tuple(sorted({n for n in (named_zones() if names is None else names) if n})))
     slots = max((len(own) for _, _, own in rows), default=1)
-    schema = "zone string, year int" + "".join(f", _from_{k} bigint, _to_{k} bigint, _offset_{k} bigint" for k in range(slots))
-    names_of = ("_from", "_to", "_offset")
-    flat = [
-        {"zone": z, "year": y} | {f"{n}_{k}": v for k, span in enumerate(own) for n, v in zip(names_of, span)} for z, y, own in rows
-    ]
     # one literal, read on the executors: no driver-side frame library is needed for it
-    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(flat)), f"array<struct<{_typed(schema)}>>")))
-
-
-def _typed(schema: str) -> str:
-    return ", ".join(f"{name}: {kind}" for name, kind in (c.split() for c in schema.split(", ")))
+    text = "\n".join(f"{z}|{y}|" + ",".join(str(v) for span in own for v in span) for z, y, own in rows)
+    x = spark.range(1).select(F.explode(F.split(F.lit(text), "\n")).alias("row")).where("row <> ''")
+    x = x.select(F.split("row", r"\|").alias("p")).select(F.col("p")[0].alias("zone"), F.col("p")[1].cast("int").alias("year"), F.split(F.col("p")[2], ",").alias("v"))
+    value = lambda k: F.try_element_at("v", F.lit(k + 1)).cast("bigint")
+    cols = [value(3 * k + j).alias(f"{n}_{k}") for k in range(slots) for j, n in enumerate(("_from", "_to", "_offset"))]
+    return x.select("zone", "year", *cols)
 
 
 def zones_in(cells: DataFrame, col: str) -> tuple[str, ...]:
@@ -97,11 +94,11 @@ def zones_in(cells: DataFrame, col: str) -> tuple[str, ...]:
 
 
 def resolve_local(df: DataFrame, zone_key: str, local_s: str, intervals: DataFrame) -> DataFrame:
-    """Adds ``zone_matches`` (how many offset intervals hold the local time) and ``zone_offset_s`` (if one).
+    """Adds ``zone_matches`` (how many offset intervals hold the local time; null for a zone that isn't in the table, or null) and ``zone_offset_s`` (if one).
 
     An as-of join on the equality of (zone, local year): two matching
     intervals mean that the clocks show the time twice, none that they never
-    do (or that the zone is unknown, or null); one gives the offset.
+    do; one gives the offset.
     """
     slots = sum(c.startswith("_from_") for c in intervals.columns)
     year = F.year(F.date_from_unix_date(F.floor(F.col(local_s) / 86_400).cast("int")))
@@ -112,4 +109,4 @@ def resolve_local(df: DataFrame, zone_key: str, local_s: str, intervals: DataFra
     hit = [F.coalesce((F.col(local_s) >= F.col(f"_from_{k}")) & (F.col(local_s) < F.col(f"_to_{k}")), F.lit(False)) for k in range(slots)]
     matches = sum((h.cast("int") for h in hit[1:]), hit[0].cast("int"))
     offset = F.coalesce(*[F.when(h, F.col(f"_offset_{k}")) for k, h in enumerate(hit)])
-    return joined.select(*df.columns, matches.alias("zone_matches"), F.when(matches == 1, offset).alias("zone_offset_s"))
+    return joined.select(*df.columns, F.when(F.col("_zone").isNotNull(), matches).alias("zone_matches"), F.when(matches == 1, offset).alias("zone_offset_s"))

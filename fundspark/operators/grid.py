@@ -17,24 +17,25 @@ DAY_S = 86_400
 VALID_DAYS = {"weekday": 5, "day": 3, "week": 14, "month": 62}
 
 
+def is_weekend(day: Column, rhythm: Column) -> Column:
+    """Whether no cell holds the day: a Saturday or Sunday under ``weekday``."""
+    return (rhythm == "weekday") & (F.weekday(day) > 4)
+
+
 def period_start(day: Column, rhythm: Column) -> Column:
-    """First day of the period: the day itself (under ``weekday`` a weekend day belongs to the cell of the Friday before, without counting as its reading), Monday, or the 1st."""
+    """First day of the period: the day itself, Monday, or the 1st; for a day without cell that of the next one."""
     weekday = F.weekday(day)
     return (
         F.when(rhythm == "week", F.date_sub(day, weekday))
         .when(rhythm == "month", F.trunc(day, "month"))
-        .when((rhythm == "weekday") & (weekday > 4), F.date_sub(day, weekday - 4))
+        .when(is_weekend(day, rhythm), F.date_add(day, 7 - weekday))
         .otherwise(day)
     ).cast("date")
 
 
-def _next_period(start: Column, rhythm: Column) -> Column:
-    return (
-        F.when(rhythm == "week", F.date_add(start, 7))
-        .when(rhythm == "month", F.add_months(start, 1))
-        .when((rhythm == "weekday") & (F.weekday(start) == 4), F.date_add(start, 3))
-        .otherwise(F.date_add(start, 1))
-    )
+def period_end(start: Column, rhythm: Column) -> Column:
+    """The day after the period's last one; a Friday ends with its midnight."""
+    return F.when(rhythm == "week", F.date_add(start, 7)).when(rhythm == "month", F.add_months(start, 1)).otherwise(F.date_add(start, 1))
 
 
 def regular_series(rows: DataFrame) -> DataFrame:
@@ -42,10 +43,12 @@ def regular_series(rows: DataFrame) -> DataFrame:
 
     ``period_start``, ``readings`` (deliveries of the period's own readings
     count once), ``average`` (time-weighted over the covered time, the value
-    last known being carried forward), ``coverage`` (fraction of the period
-    in which a reading was valid), ``last_value`` and ``status``:
-    ``observed``, ``filled`` (no own reading, some validity) or ``missing``.
+    last known being carried forward; the last value of a period whose readings cover no time),
+    ``coverage`` (fraction of the period in which a reading was valid), ``last_value`` (last one valid in the period) and ``status``:
+    ``observed``, ``filled`` (no own reading, some validity) or ``missing`` (nothing valid: average and last value are null).
 
+    Under ``weekday`` Saturdays and Sundays have no cell: their readings count
+    in none, and only what is still valid on Monday reaches one. A file whose readings all lie there gives no row.
     Null files, and rows that aren't readable, give nothing; an empty table
     an empty result; a fund without rhythm counts by the day. Periods run on the fund's calendar.
 
@@ -69,49 +72,46 @@ def regular_series(rows: DataFrame) -> DataFrame:
     )
     # the last reading of a day holds until the first one of the next day with readings, at most VALID_DAYS
     by_file = Window.partitionBy("nav_file").orderBy("day")
-    nxt = F.lead("first_s").over(by_file)
+    rhythm = F.col("rhythm")
     valid = F.lit(None).cast("bigint")
-    for rhythm, n in VALID_DAYS.items():
-        valid = F.coalesce(F.when(F.col("rhythm") == rhythm, n * DAY_S), valid)
-    days = days.withColumn("_next_s", nxt).withColumn("cell", period_start(F.col("day"), F.col("rhythm")))
+    for name, n in VALID_DAYS.items():
+        valid = F.coalesce(F.when(rhythm == name, n * DAY_S), valid)
+    days = days.withColumn("_next_s", F.lead("first_s").over(by_file)).withColumn("_next", F.lead("day").over(by_file))
+    days = days.withColumn("_off", is_weekend(F.col("day"), rhythm)).withColumn("cell", period_start(F.col("day"), rhythm))
     days = days.withColumn("_end_s", F.least(F.coalesce("_next_s", F.col("last_s")), F.col("last_s") + valid))
-    next_cell = period_start(F.date_from_unix_date(F.floor(F.col("_next_s") / DAY_S).cast("int")), F.col("rhythm"))
-    # grid cells that this interval meets: its own and those up to the next reading
-    last_day = F.date_sub(next_cell, 1)
-    cells = (
-        F.when(F.col("_next_s").isNull() | (next_cell <= F.col("cell")), F.array("cell"))
-        .when(F.col("rhythm") == "month", F.sequence("cell", F.greatest(last_day, F.col("cell")), F.expr("interval 1 month")))
-        .when(F.col("rhythm") == "week", F.sequence("cell", F.greatest(last_day, F.col("cell")), F.expr("interval 7 day")))
-        .otherwise(F.sequence("cell", F.greatest(last_day, F.col("cell")), F.expr("interval 1 day")))
+    # cells that begin after this day's own and up to the next reading's, that one included: its first part is met by this interval
+    next_cell = F.when(is_weekend(F.col("_next"), rhythm), F.date_sub("_next", F.weekday("_next") - 4)).otherwise(period_start(F.col("_next"), rhythm))
+    begin = F.when(rhythm == "month", F.add_months("cell", 1)).when(rhythm == "week", F.date_add("cell", 7)).when(F.col("_off"), F.col("cell")).otherwise(F.date_add("cell", 1))
+    later = (
+        F.when(next_cell.isNull() | (next_cell < begin), F.expr("cast(array() as array<date>)"))
+        .when(rhythm == "month", F.sequence(begin, F.greatest(next_cell, begin), F.expr("interval 1 month")))
+        .when(rhythm == "week", F.sequence(begin, F.greatest(next_cell, begin), F.expr("interval 7 day")))
+        .otherwise(F.sequence(begin, F.greatest(next_cell, begin), F.expr("interval 1 day")))
     )
-    cells = F.when(F.col("rhythm") == "weekday", F.filter(cells, lambda c: F.weekday(c) < 5)).otherwise(cells)
-    # an interval that runs into the first part of the next reading's own cell is met there by a second piece
-    meets = F.when(
-        F.col("_next_s").isNotNull() & (next_cell > F.col("cell")), F.concat(cells, F.array(next_cell))
-    ).otherwise(cells)
-    pieces = days.withColumn("period_start", F.explode(meets))
+    later = F.when(rhythm == "weekday", F.filter(later, lambda c: F.weekday(c) < 5)).otherwise(later)
+    cells = F.when(F.col("_off"), later).otherwise(F.concat(F.array("cell"), later))
+    pieces = days.withColumn("period_start", F.explode(cells))
     lo = F.unix_date("period_start").cast("bigint") * DAY_S
-    hi = F.unix_date(_next_period(F.col("period_start"), F.col("rhythm"))).cast("bigint") * DAY_S
-    hi = F.when((F.col("rhythm") == "weekday") & (F.weekday("period_start") == 4), lo + DAY_S).otherwise(hi)
+    hi = F.unix_date(period_end(F.col("period_start"), rhythm)).cast("bigint") * DAY_S
     tail = F.greatest(F.least(hi, F.col("_end_s")) - F.greatest(lo, F.col("last_s")), F.lit(0))
-    home = F.col("period_start") == F.col("cell")
-    counted = home & ~((F.col("rhythm") == "weekday") & (F.weekday("day") > 4))
+    home = (F.col("period_start") == F.col("cell")) & ~F.col("_off")
+    met = home | (tail > 0)
     grid = pieces.groupBy("nav_file", "period_start").agg(
         F.first("rhythm").alias("rhythm"),
-        F.sum(F.when(counted, F.col("readings")).otherwise(0)).alias("readings"),
+        F.sum(F.when(home, F.col("readings")).otherwise(0)).alias("readings"),
         F.sum(F.when(home, F.coalesce("area", F.lit(0.0))).otherwise(0.0) + F.col("last_value") * tail).alias("area"),
         F.sum(F.when(home, F.coalesce("covered", F.lit(0))).otherwise(0) + tail).alias("covered"),
         F.max(hi - lo).alias("length"),
-        F.max_by("last_value", "last_s").alias("last_value"),
+        F.max_by(F.when(met, F.col("last_value")), F.when(met, F.col("last_s"))).alias("last_value"),
     )
-    covered = F.least(F.col("covered") / F.col("length"), F.lit(1.0))
+    average = F.coalesce(F.try_divide(F.col("area"), F.col("covered").cast("double")), F.when(F.col("readings") > 0, F.col("last_value")))
     return grid.select(
         "nav_file",
         "period_start",
         "rhythm",
         "readings",
-        F.round(F.coalesce(F.try_divide(F.col("area"), F.col("covered").cast("double")), F.col("last_value")), 6).alias("average"),
-        F.round(covered, 6).alias("coverage"),
+        F.round(average, 6).alias("average"),
+        F.round(F.col("covered") / F.col("length"), 6).alias("coverage"),
         "last_value",
         F.when(F.col("readings") > 0, "observed").when(F.col("covered") > 0, "filled").otherwise("missing").alias("status"),
     )

@@ -5,22 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fundspark.operators.pairs import differing_pairs
+
 
 def same_moment_pairs(rows: DataFrame, id_col: str, group_col: str, cell_col: str) -> DataFrame:
     """Pairs (id_a < id_b) of rows of one group whose cells give the same moment or, both without clock time, the same day.
 
     ``rows`` went through ``timestamps.resolve``. Only pairs with different
-    strings come out; a null group, and unresolvable or unreadable cells, give
-    none. Rows are first cut down to the (group, moment) keys that hold two
-    different strings, by an aggregate with a map-side part; the pairs come
-    from a self-join on that key, where AQE splits skewed partitions.
+    strings come out; a null group or id, and unresolvable or unreadable cells, give none.
+    Copies of one cell aren't compared with each other (``differing_pairs``).
     """
-    key = F.when(F.col("date_status") == "moment", F.col("utc_s")).when(
-        F.col("date_status") == "day", F.unix_date("day_written").cast("bigint")
-    )
-    keyed = rows.select(
-        F.col(id_col).alias("id"), F.col(group_col).alias("grp"), (F.col("date_status") == "moment").alias("exact"), key.alias("key"), F.col(cell_col).alias("cell")
-    ).where(F.col("key").isNotNull() & F.col("grp").isNotNull())
-    on = ["grp", "exact", "key"]
-    a, b = keyed.withColumnRenamed("id", "id_a").withColumnRenamed("cell", "cell_a"), keyed.withColumnRenamed("id", "id_b").withColumnRenamed("cell", "cell_b")
-    return a.join(b, on).where((F.col("id_a") < F.col("id_b")) & (F.col("cell_a") != F.col("cell_b"))).select("id_a", "id_b").distinct()
+    moment = F.col("date_status") == "moment"
+    key = F.when(moment, F.col("utc_s")).when(F.col("date_status") == "day", F.unix_date("day_written").cast("bigint"))
+    keyed = rows.select(F.col(id_col).alias("id"), F.col(group_col).alias("_group"), moment.alias("_exact"), key.alias("_key"), F.col(cell_col).alias("stored"))
+    return differing_pairs(keyed.dropna(), ["_group", "_exact", "_key"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fundspark.functions.timestamps import parse_cells, resolve
 from fundspark.functions.zones import named_zones, zone_intervals, zones_in
-from fundspark.session import bounded_broadcast, spread, tune
+from fundspark.session import bounded_broadcast, spread
 
 _GROUPING = " '\u2019\u00a0\u2002\u2005\u2007\u2009\u202f\u3000\t"
 
@@ -40,14 +40,14 @@ def nav_rows(spark: SparkSession, nav: DataFrame, feeds: DataFrame, sheets: Data
     number of rows; a sheet table beyond the bound is joined by a shuffle.
     Columns of other names are dropped; repeated feed or sheet keys count once.
     """
-    tune(spark)
     named = feeds.where(F.col("tz_name").isin(*named_zones())).select("tz_name").distinct().collect()
     zones = zone_intervals(spark, tuple(r[0] for r in named) + zones_in(nav, "date"))
+    feed_rows, sheet_rows = feeds, sheets
     feeds = feeds.groupBy("feed_code").agg(F.first("tz_name").alias("feed_tz"), F.first("day_first").alias("day_first"))
     sheets = sheets.groupBy(F.col("isin").alias("_isin")).agg(F.first("rhythm").alias("rhythm"), F.first("tz_name").alias("tz_name"))
     rows = spread(nav.select(*dict.fromkeys(("isin", "nav_file", "date", "nav", "feed_code", *keep))))
-    rows = rows.join(bounded_broadcast(feeds), "feed_code", "left")
-    rows = rows.join(bounded_broadcast(sheets), F.col("isin") == F.col("_isin"), "left").drop("_isin")
+    rows = rows.join(bounded_broadcast(feeds, feed_rows), "feed_code", "left")
+    rows = rows.join(bounded_broadcast(sheets, sheet_rows), F.col("isin") == F.col("_isin"), "left").drop("_isin")
     rows = resolve(parse_cells(rows, "date", F.col("day_first"), F.col("feed_tz")), spark, zones)
     moment = F.timestamp_seconds("utc_s")
     shown = F.when(F.col("tz_name").isNull(), moment).otherwise(F.from_utc_timestamp(moment, F.col("tz_name")))

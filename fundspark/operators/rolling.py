@@ -26,13 +26,18 @@ def trailing_totals(daily: DataFrame, windows: tuple[int, ...] = WINDOWS) -> Dat
     wide as the longest window, restrict the candidates: a calendar day looks
     only into its own bucket, into which each daily total is copied from the
     bucket before if its window reaches over. Days without readings give 0, null and null.
+
+    Daily totals, one row a file and day, are shuffled by file once; both sides of the join read that
+    exchange, so they (and the parsing behind them) are computed once.
     """
     widest = max(windows)
     bucket = lambda day: F.floor(F.unix_date(day) / widest)
-    ends = daily.groupBy("nav_file").agg(F.min("day").alias("a"), F.max("day").alias("z"))
+    daily = daily.select("nav_file", "day", "n", "total").repartition("nav_file")
+    # n and total are read on this side too, so that both sides want the same columns and the exchange is one
+    ends = daily.where("n > 0 or total is not null").groupBy("nav_file").agg(F.min("day").alias("a"), F.max("day").alias("z"))
     calendar = ends.select("nav_file", F.explode(F.sequence("a", "z", F.expr("interval 1 day"))).alias("day")).withColumn("bucket", bucket("day"))
     reach = F.array_distinct(F.array(bucket("day"), bucket(F.date_add("day", widest - 1))))
-    totals = daily.select(F.col("nav_file"), F.col("day").alias("d"), "n", "total", F.explode(reach).alias("bucket"))
+    totals = daily.where("n > 0 or total is not null").select(F.col("nav_file"), F.col("day").alias("d"), "n", "total", F.explode(reach).alias("bucket"))
     low = F.date_sub("day", widest)
     near = totals.select(F.col("nav_file").alias("_f"), F.col("bucket").alias("_b"), "d", "n", "total")
     joined = calendar.join(

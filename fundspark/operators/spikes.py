@@ -1,10 +1,10 @@
 """Implausible readings: spikes, frozen values and impossible values, judged per source.
 
-Robust seasonal-trend decomposition: the trend is the median of the readings
-just before and just after, the season the median remainder by weekday (or by
-hour where a source has many readings a day), the scale the normal-consistent
-median absolute step of the source. Remainders beyond the generalised extreme
-studentised deviate limits are spikes; runs and ranges have their own checks.
+Robust seasonal-trend decomposition: the trend is the mean of the median
+readings just before and just after, the season the median remainder by weekday (or by
+hour where a source has many readings a day). The remainders of the whole source
+go through the generalised extreme studentised deviate test, and one beyond
+its limits is a spike if the series is back at its level afterwards; runs and ranges have their own checks.
 """
 
 from __future__ import annotations
@@ -27,38 +27,71 @@ if TYPE_CHECKING:
 DAY_S = 86_400
 #: Readings on each side that give the level.
 NEIGHBOURS = 5
-#: Significance of the studentised deviate test, and expected number of natural runs so long at which a run counts as frozen.
-ALPHA, RUN_ALPHA = 1e-3, 1e-2
-#: A spike must also lie this many scales away: "far beyond the usual movement".
-FAR = 9.0
+#: Significance of the studentised deviate test ("far beyond the usual movement"), and expected number of natural runs so long at which a run counts as frozen.
+ALPHA, RUN_ALPHA = 1e-6, 1e-2
+#: Largest share of the remainders that the test may find outlying.
+MOST_OUTLYING = 0.5
 #: Least number of equal dates that can be a frozen stretch.
 MIN_RUN = 6
-#: A value at least so many times the level on either side, or so many times below, can't be a price.
-IMPOSSIBLE_RATIO, IMPOSSIBLE_VALUE = 50.0, 9_999_999.0
-#: Distinct reading times of one source that go into one task; a larger source is cut into stretches of time.
+#: A value so many times the level on either side, or so many times beyond the quartiles of its source (or so many times below), can't be a price.
+IMPOSSIBLE_RATIO = 50.0
+#: Distinct reading times of one source that go into one task; a larger source is cut into stretches of time, which changes no verdict.
 SEGMENT_ROWS = 50_000
+#: Remainders are compared with so many binary digits, so that the counts of a source by value stay small whatever its size.
+DIGITS = 12
 
 RESULT = "nav_id bigint, isin string, at_s bigint, value double, kind string, score double"
-#: A judged reading; a part of a segmented source's figures; the figures of a whole segmented source.
+#: A judged reading; a part of a cut source's figures; its figures, and its frozen stretches over the cuts, for each of its segments.
 JUDGED = "isin string, at_s bigint, value double, kind string, score double"
 PART = "isin string, what string, part bigint, key bigint, until bigint, v double, n bigint"
-MOVEMENT = "isin string, scale double, season array<double>"
-STRETCHES = "isin string, least double, stretches array<struct<start:bigint,until:bigint,v:double,n:bigint>>"
+MOVEMENT = "isin string, segment bigint, figures array<double>"
+STRETCHES = "isin string, segment bigint, least double, stretches array<struct<start:bigint,until:bigint,v:double,n:bigint>>"
 
 
-def gesd_limits(n: int, most: int, alpha: float = ALPHA) -> np.ndarray:
-    """Critical values of the generalised ESD test for the 1st to ``most``-th extreme of ``n`` values."""
-    import numpy as np
-    i = np.arange(1, most + 1)
-    out = np.empty(most)
-    for k in i:
-        df = max(n - k - 1, 1)
-        p = alpha / (2.0 * max(n - k + 1, 1))
-        z = -NormalDist().inv_cdf(min(p, 0.5))
-        # Student's t by the Cornish-Fisher expansion of the normal quantile
-        t = z + (z**3 + z) / (4 * df) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * df**2)
-        out[k - 1] = (n - k) * t / math.sqrt((df + t * t) * max(n - k + 1, 1))
-    return out
+def esd_limit(n: int, i: int, alpha: float = ALPHA) -> float:
+    """Critical value of the generalised ESD test for the ``i``-th extreme of ``n`` values."""
+    i = min(i, max(n - 1, 1))
+    df = max(n - i - 1, 1)
+    z = -NormalDist().inv_cdf(alpha / (2.0 * (n - i + 1)))
+    # Student's t from the normal quantile by Wallace's transformation, which holds far into the tails
+    t2 = df * math.expm1(min((z * (8 * df + 3) / (8 * df + 1)) ** 2 / df, 600.0))
+    return (n - i) * math.sqrt(t2 / ((df + t2) * (n - i + 1)))
+
+
+def esd_bounds(v: np.ndarray, n: np.ndarray, least_sd: float, alpha: float = ALPHA) -> tuple[float, float, float, float, float]:
+    """(lower bound, upper bound, mean, deviation, limit) of the generalised ESD test over values ``v``, rising, that occur ``n`` times.
+
+    The value furthest from the mean is taken away again and again, mean and
+    deviation being those of the rest; outlying are all values taken up to the last one whose studentised deviate
+    exceeds its limit. Values at or beyond a bound are outlying, and so is any other one whose deviate from the
+    mean and deviation of the rest exceeds the limit of the next one to be taken. Equal values share a verdict.
+    """
+    v, n = v.tolist(), n.tolist()
+    count = total = sum(n)
+    s1, s2 = sum(a * b for a, b in zip(v, n)), sum(a * a * b for a, b in zip(v, n))
+    low, high, taken, most = 0, len(v) - 1, 0, int(total * MOST_OUTLYING)
+    least_limit = min(esd_limit(total, 1, alpha), esd_limit(total, max(most, 1), alpha))  # below it the exact limit isn't needed
+
+    def spread(c: float, s1: float, s2: float) -> tuple[float, float]:
+        mean = s1 / c
+        return mean, max(math.sqrt(max(s2 - c * mean * mean, 0.0) / max(c - 1, 1)), least_sd)
+
+    found = (-math.inf, math.inf, *spread(max(count, 1), s1, s2), esd_limit(total, 1, alpha))
+    while low < high:
+        mean, _ = spread(count, s1, s2)
+        at = high if v[high] - mean >= mean - v[low] else low
+        x, k = v[at], n[at]
+        taken += k
+        if taken > most:
+            break
+        count, s1, s2 = count - k, s1 - k * x, s2 - k * x * x
+        mean, sd = spread(count + 1, s1 + x, s2 + x * x)  # while one of the equal values is left
+        deviate = abs(x - mean) / sd
+        over = deviate > least_limit and deviate > esd_limit(total, taken, alpha)
+        low, high = (low, high - 1) if at == high else (low + 1, high)
+        if over:
+            found = (v[low - 1] if low else -math.inf, v[high + 1] if high + 1 < len(v) else math.inf, *spread(count, s1, s2), esd_limit(total, taken + 1, alpha))
+    return found
 
 
 def _level(x: np.ndarray, at: np.ndarray, reach: float, back: bool) -> np.ndarray:
@@ -80,17 +113,6 @@ def _level(x: np.ndarray, at: np.ndarray, reach: float, back: bool) -> np.ndarra
     return (near[rows, lo] + near[rows, np.minimum(hi, NEIGHBOURS - 1)]) / 2 if n else np.zeros(0)
 
 
-def _season(rest: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Median remainder by season, 0 where a season has fewer than 20 remainders."""
-    import numpy as np
-    out = np.zeros(len(rest))
-    for k in np.unique(key):
-        own = (key == k) & ~np.isnan(rest)
-        if own.sum() >= 20:
-            out[key == k] = np.median(rest[own])
-    return out
-
-
 def _least_run(length: np.ndarray, n: np.ndarray) -> float:
     """Least length of a frozen stretch, among ``n`` stretches of each ``length``; infinite if none is frozen."""
     least = math.inf
@@ -127,63 +149,105 @@ def _slots(at_s: np.ndarray, dense: bool | None):
 
 
 def _representatives(slot, value, received, ids):
-    """Whether each value is impossible by itself, the good rows, and the good row received last of each slot."""
+    """The rows with a positive value, and the one received last of each slot."""
     import numpy as np
-    bad = ~(value > 0) | (value >= IMPOSSIBLE_VALUE)
-    good = np.flatnonzero(~bad)
+    good = np.flatnonzero(value > 0)
     order = good[np.lexsort((-ids[good], -received[good], slot[good]))]
-    return bad, good, order[np.r_[True, slot[order][1:] != slot[order][:-1]]] if len(order) else order
+    return good, order[np.r_[True, slot[order][1:] != slot[order][:-1]]] if len(order) else order
 
 
 def _season_key(at: np.ndarray, dense: bool) -> np.ndarray:
     return (at // 3600) % 24 if dense else (at // DAY_S) % 7
 
 
-def _judge_values(slot, dense, value, received, ids, decimals, reach_s: float, movement=None):
-    """(kind, score) by value alone: '', 'impossible' or 'spike'. ``movement``: scale and season of the whole source, where this is a part of it."""
+def _rounded(v: np.ndarray) -> np.ndarray:
+    """To DIGITS binary digits."""
+    import numpy as np
+    bit = 52 - DIGITS
+    return ((np.asarray(v, float).view(np.int64) + (1 << (bit - 1))) & ~((1 << bit) - 1)).view(float) + 0.0
+
+
+def _counted(v: np.ndarray, n: np.ndarray | None = None):
+    """Distinct values, rising, and how often each occurs."""
+    import numpy as np
+    u, back, k = np.unique(v, return_inverse=True, return_counts=True)
+    return u, (k if n is None else np.bincount(back, weights=n, minlength=len(u)).astype(np.int64))
+
+
+def _quantile(v: np.ndarray, n: np.ndarray, q: float) -> float:
+    """Of rising values ``v`` that occur ``n`` times; the mean of the two in the middle for a median of an even number."""
+    import numpy as np
+    upto = np.cumsum(n)
+    lo, hi = np.searchsorted(upto, [math.ceil(q * upto[-1]) - 1, math.floor(q * upto[-1])], side="right")
+    return float((v[min(lo, len(v) - 1)] + v[min(hi, len(v) - 1)]) / 2)
+
+
+def _figures(key: np.ndarray, rest: np.ndarray, n: np.ndarray, x: np.ndarray, xn: np.ndarray, decimals: float) -> list[float]:
+    """Figures of a whole source: quartiles of the logarithms, bounds, mean, deviation and limit of the remainders, then the season of each key.
+
+    ``rest`` are remainders (of season ``key``) that occur ``n`` times, ``x`` rising logarithms that occur ``xn`` times.
+    """
+    import numpy as np
+    season = np.zeros(24)
+    for k in range(24):
+        of = key == k
+        if n[of].sum() >= 20:
+            season[k] = _quantile(*_counted(rest[of], n[of]), 0.5)
+    tick = 0.5 * 10.0**-decimals / math.exp(_quantile(x, xn, 0.5))
+    bounds = (-math.inf, math.inf, 0.0, max(tick, 1e-9), math.inf)
+    if len(rest):
+        bounds = esd_bounds(*_counted(_rounded(rest - season[key]), n), max(tick, 1e-9))
+    return [_quantile(x, xn, 0.25), _quantile(x, xn, 0.75), *bounds, *season.tolist()]
+
+
+def _nearest(y, before, after):
+    """Departure from the nearer of the two levels; from the only one at an end, 0 without any."""
+    import numpy as np
+    b, a = np.abs(y - before), np.abs(y - after)
+    return np.nan_to_num(np.where(np.isnan(a), b, np.where(np.isnan(b), a, np.minimum(b, a))), nan=0.0)
+
+
+def _remainders(slot, dense, value, received, ids, reach_s: float):
+    """Good rows, representatives, the level before and after each representative, its logarithm and remainder (NaN without a level on both sides).
+
+    Values out of all proportion to the level on either side don't take part in the levels of their neighbours.
+    """
+    import numpy as np
+    good, rep = _representatives(slot, value, received, ids)
+    at, x = slot[rep], np.log(value[rep])
+    before, after = _level(x, at, reach_s, True), _level(x, at, reach_s, False)
+    far = _nearest(x, before, after) > math.log(IMPOSSIBLE_RATIO)
+    if far.any():
+        calm = np.where(far, np.nan, x)
+        before, after = _level(calm, at, reach_s, True), _level(calm, at, reach_s, False)
+    return good, rep, before, after, x, x - (before + after) / 2
+
+
+def _judge_values(slot, dense, value, parts, figures):
+    """(kind, score) by value alone: '', 'impossible' or 'spike'."""
     import numpy as np
     n = len(value)
     kind, score = np.full(n, "", dtype=object), np.zeros(n)
-    bad, good, rep = _representatives(slot, value, received, ids)
-    kind[bad] = "impossible"
-    if not len(good):
+    kind[~(value > 0)] = "impossible"
+    good, rep, before, after, _, _ = parts
+    if not len(good) or figures is None:
         return kind, score
-    at, x = slot[rep], np.log(value[rep])
-    before, after = _level(x, at, reach_s, True), _level(x, at, reach_s, False)
-    if movement:
-        scale, season = movement[0], np.asarray(movement[1])[_season_key(at, dense)]
-    else:
-        step = np.diff(x)
-        scale = 1.4826 * np.median(np.abs(step - np.median(step))) if len(step) > 1 else 0.0
-        tick = 0.5 * 10.0 ** -decimals[rep].max() / np.exp(np.median(x))
-        scale = max(scale, tick, 1e-9)
-        season = _season(x - (before + after) / 2, _season_key(at, dense))
+    q1, q3, low, high, mean, sd, limit, *season = figures
+    at = slot[rep]
     where = np.searchsorted(at, slot[good])
-    y = np.log(value[good]) - season[where]
-    b, a = before[where], after[where]
-    up, down = y - b, y - a
+    y, b, a = np.log(value[good]), before[where], after[where]
+    own = np.asarray(season)[_season_key(slot[good], dense)]
+    r = _rounded(_rounded(y - (b + a) / 2) - own)
+    up, down = y - own - b, y - own - a
     dev = np.minimum(np.abs(up), np.abs(down))
-    two = ~np.isnan(b) & ~np.isnan(a)
     ratio = math.log(IMPOSSIBLE_RATIO)
-    one = np.where(np.isnan(a), np.abs(up), np.abs(down))
-    wild = np.where(two, dev, one) > ratio
-    wild &= ~(np.isnan(a) & np.isnan(b))
-    brief = two & (up * down > 0) & (np.abs(a - b) < 0.5 * dev)
-    z = np.where(brief, dev / scale, 0.0)
-    # generalised ESD: the r-th largest studentised remainder against the r-th limit (a limit never reaches FAR, so parts of a source need no common ranks)
-    rank = np.argsort(-z, kind="stable")
-    most = int((z > 3).sum())
-    count = 0
-    if most:
-        limits = gesd_limits(max(len(rep), most + 3), most)
-        over = np.flatnonzero(z[rank[:most]] > limits)
-        count = int(over[-1]) + 1 if len(over) else 0
-    spike = np.zeros(len(good), bool)
-    spike[rank[:count]] = True
-    spike &= z > FAR
+    wild = (_nearest(y, b, a) > ratio) | (y > q3 + ratio) | (y < q1 - ratio)
+    brief = (up * down > 0) & (np.abs(a - b) < 0.5 * dev)
+    deviate = np.where(np.isnan(r), 0.0, np.abs(r - mean) / sd)
+    spike = brief & ((r >= high) | (r <= low) | (deviate > limit))
     kind[good[spike]] = "spike"
-    kind[good[wild & ~spike]] = "impossible"
-    score[good] = z
+    kind[good[wild]] = "impossible"
+    score[good] = deviate
     return kind, score
 
 
@@ -201,8 +265,15 @@ def judge_segment(at_s: np.ndarray, value: np.ndarray, received: np.ndarray, ids
     more than two readings a day); the delivery received last speaks for it, and every row is
     judged by its own value. Order of the rows doesn't matter. ``first``: received and id of the first delivery, where a row stands for several.
     """
+    import numpy as np
     slot, dense = _slots(at_s, dense)
-    kind, score = _judge_values(slot, dense, value, received, ids, decimals, reach_s)
+    parts = _remainders(slot, dense, value, received, ids, reach_s)
+    _, rep, _, _, x, rest = parts
+    figures = None
+    if len(rep):
+        some = ~np.isnan(rest)
+        figures = _figures(_season_key(slot[rep], dense)[some], _rounded(rest[some]), np.ones(int(some.sum()), np.int64), *_counted(_rounded(x)), float(decimals[rep].max()))
+    kind, score = _judge_values(slot, dense, value, parts, figures)
     start, until, v, length = _runs(slot, value, *(first or (received, ids)), (kind == "").nonzero()[0])
     if len(length):
         frozen = length >= _least_run(length, length * 0 + 1)
@@ -232,12 +303,6 @@ def _judge_whole(table: pa.Table) -> pa.Table:
     return _judged(c, kind, score, (kind != "").nonzero()[0])
 
 
-def _rounded(v: np.ndarray) -> np.ndarray:
-    """To 20 binary digits, so that counts by value stay small."""
-    import numpy as np
-    return ((np.asarray(v, float).view(np.int64) + (1 << 31)) & ~((1 << 32) - 1)).view(float)
-
-
 def _part(isin: str, rows: list[tuple]) -> pa.Table:
     import pyarrow as pa
     names = ("what", "part", "key", "until", "v", "n")
@@ -245,72 +310,57 @@ def _part(isin: str, rows: list[tuple]) -> pa.Table:
     return pa.table({"isin": pa.array([isin] * len(rows), pa.string())} | {k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate(zip(names, kinds))})
 
 
-def _movement_part(table: pa.Table) -> pa.Table:
-    """Counts of a segment's own steps, logarithms and remainders by season, and its first and last reading."""
+def _counts(table: pa.Table) -> pa.Table:
+    """Counts of the logarithms and remainders of a segment's own readings, and that the segment exists."""
     import numpy as np
     c = _columns(table)
-    segment = int(c["segment"][0])
     slot, dense = _slots(c["at_s"], c["dense"])
-    _, _, rep = _representatives(slot, c["value"], c["last_s"], c["last_id"])
-    at, x, own = slot[rep], np.log(c["value"][rep]), c["own"][rep].astype(bool)
-    rest = x - (_level(x, at, c["reach_s"], True) + _level(x, at, c["reach_s"], False)) / 2
-    rows = []
-
-    def counts(what: str, key: int, v: np.ndarray) -> None:
-        rows.extend((what, 0, key, 0, float(a), int(b)) for a, b in zip(*np.unique(_rounded(v), return_counts=True)))
-
-    if own.any():
-        mine, when = x[own], at[own]
-        counts("step", 0, np.diff(mine))
-        counts("x", 0, mine)
-        key = _season_key(at, dense)
-        for k in np.unique(key[own]):
-            counts("rest", int(k), rest[own & (key == k) & ~np.isnan(rest)])
-        rows.append(("decimals", segment, 0, 0, float(c["decimals"][rep][own].max()), 1))
-        rows.extend(("edge", segment, int(when[i]), 0, float(mine[i]), 1) for i in dict.fromkeys((0, len(when) - 1)))
+    _, rep, _, _, x, rest = _remainders(slot, dense, c["value"], c["last_s"], c["last_id"], c["reach_s"])
+    own = c["own"][rep].astype(bool)
+    rows = [("segment", int(c["segment"][0]), 0, 0, float(c["decimals"][rep][own].max(initial=-1)), 1)]
+    rows += [("x", 0, 0, 0, float(a), int(b)) for a, b in zip(*_counted(_rounded(x[own])))]
+    key, some = _season_key(slot[rep], dense), own & ~np.isnan(rest)
+    for k in np.unique(key[some]):
+        rows += [("rest", 0, int(k), 0, float(a), int(b)) for a, b in zip(*_counted(_rounded(rest[some & (key == k)])))]
     return _part(c["isin"], rows)
 
 
-def _weighted_median(v: np.ndarray, n: np.ndarray) -> float:
-    import numpy as np
-    o = np.argsort(v, kind="stable")
-    v, upto = v[o], np.cumsum(n[o])
-    lo, hi = np.searchsorted(upto, [(upto[-1] - 1) // 2, upto[-1] // 2], side="right")
-    return float((v[lo] + v[hi]) / 2)
-
-
 def _movement(table: pa.Table) -> pa.Table:
-    """Scale and season of a whole source from its segments' counts."""
+    """Figures of a whole source from its segments' counts, for each segment; none for a source without a positive value."""
     import numpy as np
     import pyarrow as pa
     what, part, key, v, n = (table.column(c).to_numpy(zero_copy_only=False) for c in ("what", "part", "key", "v", "n"))
-    edge = np.flatnonzero(what == "edge")
-    edge = edge[np.argsort(key[edge])]
-    across = part[edge][1:] != part[edge][:-1]  # from one segment's last reading to the next one's first
-    step = np.r_[v[what == "step"], np.diff(v[edge])[across]]
-    times = np.r_[n[what == "step"], np.ones(int(across.sum()), int)]
-    scale = 0.0
-    if times.sum() > 1:
-        scale = 1.4826 * _weighted_median(np.abs(step - _weighted_median(step, times)), times)
-    tick = 0.5 * 10.0 ** -v[what == "decimals"].max() / math.exp(_weighted_median(v[what == "x"], n[what == "x"]))
-    season = np.zeros(24)
-    for k in range(24):
-        of = (what == "rest") & (key == k)
-        if n[of].sum() >= 20:
-            season[k] = _weighted_median(v[of], n[of])
-    return pa.table({"isin": table.column("isin").slice(0, 1), "scale": [max(scale, tick, 1e-9)], "season": pa.array([season.tolist()], pa.list_(pa.float64()))})
+    seg, rest, x = what == "segment", what == "rest", what == "x"
+    if not x.any():
+        return pa.table({"isin": pa.array([], pa.string()), "segment": pa.array([], pa.int64()), "figures": pa.array([], pa.list_(pa.float64()))})
+    order = np.argsort(v[x])
+    figures = _figures(key[rest].astype(int), v[rest], n[rest], v[x][order], n[x][order], v[seg].max())
+    own = part[seg]
+    return pa.table({"isin": pa.array([table.column("isin")[0].as_py()] * len(own)), "segment": pa.array(own), "figures": pa.array([figures] * len(own), pa.list_(pa.float64()))})
 
 
-def _own_runs(c: dict, movement: tuple):
-    """Slots, verdicts by value, and runs of a segment's own readings."""
+def _own_runs(c: dict, figures):
+    """Slots, verdicts by value, which rows are the segment's own, and the runs of these."""
     slot, dense = _slots(c["at_s"], c["dense"])
-    kind, score = _judge_values(slot, dense, c["value"], c["last_s"], c["last_id"], c["decimals"], c["reach_s"], movement)
+    kind, score = _judge_values(slot, dense, c["value"], _remainders(slot, dense, c["value"], c["last_s"], c["last_id"], c["reach_s"]), figures)
     own = c["own"].astype(bool)
     return slot, kind, score, own, _runs(slot, c["value"], c["first_s"], c["first_id"], (own & (kind == "")).nonzero()[0])
 
 
+def _segment_runs(table: pa.Table, movement: pa.Table) -> pa.Table:
+    """Counts of the lengths of a segment's inner runs, its first and last run, and that the segment exists."""
+    import numpy as np
+    if not table.num_rows:
+        return _part("", [])
+    c = _columns(table)
+    segment = int(c["segment"][0])
+    start, until, v, length = _own_runs(c, movement.column("figures")[0].as_py() if movement.num_rows else None)[-1]
+    edges = [("edge", segment, int(start[i]), int(until[i]), float(v[i]), int(length[i])) for i in dict.fromkeys((0, len(start) - 1))] if len(start) else []
+    return _part(c["isin"], [("segment", segment, 0, 0, 0.0, 1)] + edges + [("run", 0, int(k), 0, 0.0, int(n)) for k, n in zip(*np.unique(length[1:-1], return_counts=True))])
+
+
 def _stretches(table: pa.Table) -> pa.Table:
-    """Least length of a frozen stretch of a whole source, and the frozen stretches that begin or end a segment, joined over the cuts."""
+    """For each segment of a source: the least length of a frozen stretch of the whole source, and the frozen stretches that begin or end a segment and meet this one, joined over the cuts."""
     import numpy as np
     import pyarrow as pa
     rows = table.to_pylist()
@@ -319,14 +369,34 @@ def _stretches(table: pa.Table) -> pa.Table:
     for r in sorted((r for r in rows if r["what"] == "edge"), key=lambda r: r["key"]):
         if joined and last != r["part"] and joined[-1][2] == r["v"]:
             joined[-1][1], joined[-1][3] = r["until"], joined[-1][3] + r["n"]
+            joined[-1][4].append(r["part"])
         else:
-            joined.append([r["key"], r["until"], r["v"], r["n"]])
+            joined.append([r["key"], r["until"], r["v"], r["n"], [r["part"]]])
         last = r["part"]
     inner = [r for r in rows if r["what"] == "run"]
-    least = _least_run(np.array([r["key"] for r in inner] + [j[3] for j in joined]), np.array([r["n"] for r in inner] + [1] * len(joined)))
-    frozen = [dict(zip(("start", "until", "v", "n"), j)) for j in joined if j[3] >= least]
+    least = _least_run(np.array([r["key"] for r in inner] + [j[3] for j in joined], float), np.array([r["n"] for r in inner] + [1] * len(joined)))
+    meets: dict[int, list] = {r["part"]: [] for r in rows if r["what"] == "segment"}
+    for *j, parts in joined:
+        if j[3] >= least:
+            for p in dict.fromkeys(parts):
+                meets[p].append(dict(zip(("start", "until", "v", "n"), j)))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("until", pa.int64()), ("v", pa.float64()), ("n", pa.int64())]))
-    return pa.table({"isin": table.column("isin").slice(0, 1), "least": [least], "stretches": pa.array([frozen], kind)})
+    return pa.table(
+        {"isin": pa.array([rows[0]["isin"]] * len(meets)), "segment": pa.array(list(meets), pa.int64()), "least": pa.array([least] * len(meets), pa.float64()), "stretches": pa.array(list(meets.values()), kind)}
+    )
+
+
+def _judge_segment_of(table: pa.Table, known: pa.Table) -> pa.Table:
+    """Verdicts on a segment's own readings from the whole source's figures."""
+    import pyarrow as pa
+    if not table.num_rows:
+        return pa.table({"isin": pa.array([], pa.string()), "at_s": pa.array([], pa.int64()), "value": pa.array([], pa.float64()), "kind": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
+    c = _columns(table)
+    k = known.to_pylist()[0] if known.num_rows else {"figures": None, "least": math.inf, "stretches": []}
+    slot, kind, score, own, (start, until, v, length) = _own_runs(c, k["figures"])
+    inner = [(a, b, w, n) for a, b, w, n in zip(start[1:-1], until[1:-1], v[1:-1], length[1:-1]) if n >= k["least"]]
+    _freeze(kind, score, slot, c["value"], inner + [tuple(s[x] for x in ("start", "until", "v", "n")) for s in k["stretches"]])
+    return _judged(c, kind, score, ((kind != "") & own).nonzero()[0])
 
 
 def source_extent(x: DataFrame) -> DataFrame:
@@ -347,42 +417,26 @@ def source_extent(x: DataFrame) -> DataFrame:
 
 
 def _judge_cut(x: DataFrame) -> DataFrame:
-    """Verdicts on the readings of sources that are cut, as JUDGED.
+    """Verdicts on the readings of sources that are cut, as JUDGED: the same as if they were whole.
 
     Each stretch has a margin on both sides so that cutting doesn't change a
-    reading's neighbours. Scale, season and natural rate of repeats are the
-    whole source's, from counts that the stretches give; stretches get them by a broadcast of a
-    row for each such source (one in SEGMENT_ROWS readings at most).
+    reading's neighbours. Season, bounds and natural rate of repeats are the
+    whole source's, from counts (by value of DIGITS binary digits) that the stretches give; they come
+    back with a row for each stretch, which meets the stretch's readings on their own partitioning.
     """
-    spark = x.sparkSession
     home = F.floor(F.col("at_s") / F.col("segment_s"))
     margin = F.col("reach_s") + DAY_S
     low, high = F.floor((F.col("at_s") - margin) / F.col("segment_s")), F.floor((F.col("at_s") + margin) / F.col("segment_s"))
     x = x.withColumn("_home", home).withColumn("segment", F.explode(F.array_distinct(F.array(home, low, high))))
     x = x.withColumn("own", F.col("segment") == F.col("_home")).drop("_home", "segment_s")
     x = x.repartition("isin", "segment").persist(StorageLevel.MEMORY_AND_DISK)
+    own = x.groupBy("isin", "segment")
     key = ("isin", "what", "part", "key", "until", "v")
-    parts = x.groupBy("isin", "segment").applyInArrow(_movement_part, PART).groupBy(*key).agg(F.sum("n").alias("n"))
-    movement = spark.sparkContext.broadcast({r.isin: (r.scale, r.season) for r in parts.groupBy("isin").applyInArrow(_movement, MOVEMENT).collect()})
-
-    def runs(table: pa.Table) -> pa.Table:
-        import numpy as np
-        c = _columns(table)
-        start, until, v, length = _own_runs(c, movement.value.get(c["isin"]))[-1]
-        edges = [("edge", int(c["segment"][0]), int(start[i]), int(until[i]), float(v[i]), int(length[i])) for i in dict.fromkeys((0, len(start) - 1))] if len(start) else []
-        return _part(c["isin"], edges + [("run", 0, int(k), 0, 0.0, int(n)) for k, n in zip(*np.unique(length[1:-1], return_counts=True))])
-
-    parts = x.groupBy("isin", "segment").applyInArrow(runs, PART).groupBy(*key).agg(F.sum("n").alias("n"))
-    found = spark.sparkContext.broadcast({r.isin: (r.least, [tuple(s) for s in r.stretches]) for r in parts.groupBy("isin").applyInArrow(_stretches, STRETCHES).collect()})
-
-    def judge(table: pa.Table) -> pa.Table:
-        c = _columns(table)
-        slot, kind, score, own, (start, until, v, length) = _own_runs(c, movement.value.get(c["isin"]))
-        least, stretches = found.value.get(c["isin"], (math.inf, []))
-        _freeze(kind, score, slot, c["value"], [(a, b, w, k) for a, b, w, k in zip(start[1:-1], until[1:-1], v[1:-1], length[1:-1]) if k >= least] + stretches)
-        return _judged(c, kind, score, ((kind != "") & own).nonzero()[0])
-
-    return x.groupBy("isin", "segment").applyInArrow(judge, JUDGED)
+    sums = lambda parts: parts.groupBy(*key).agg(F.sum("n").alias("n")).groupBy("isin")
+    movement = sums(own.applyInArrow(_counts, PART)).applyInArrow(_movement, MOVEMENT).persist(StorageLevel.MEMORY_AND_DISK)
+    parts = own.cogroup(movement.groupBy("isin", "segment")).applyInArrow(_segment_runs, PART)
+    known = sums(parts).applyInArrow(_stretches, STRETCHES).join(movement, ["isin", "segment"], "left")
+    return own.cogroup(known.groupBy("isin", "segment")).applyInArrow(_judge_segment_of, JUDGED)
 
 
 def _readings(x: DataFrame, extent: DataFrame) -> DataFrame:
@@ -395,14 +449,14 @@ def _readings(x: DataFrame, extent: DataFrame) -> DataFrame:
     return one.join(extent, F.col("isin") == F.col("_isin2")).drop("_isin2")
 
 
-def implausible(rows: DataFrame, nav: DataFrame) -> DataFrame:
-    """Implausible readings among ``rows`` (of ``nav_rows``, with ``received_at`` and ``nav``), as RESULT.
+def implausible(rows: DataFrame) -> DataFrame:
+    """Implausible readings among ``rows`` (of ``nav_rows``, with ``received_at`` and ``nav``), as RESULT; ``score`` is the studentised remainder, or the length of a frozen stretch.
 
     Readable rows are kept, since the extents, the readings and the result
     read them. Rows of one isin, time and value get one verdict, so they are judged as one reading
     (with its first and last delivery) and copies of any number don't meet in a task; a source of very
     many distinct times is cut into stretches. Rows that aren't readable, or of a null
-    isin, never come out; repeated rows are judged alike. ``nav`` isn't read.
+    isin, never come out; repeated rows are judged alike; an empty table gives an empty result.
     """
     x = readable(rows).where(F.col("isin").isNotNull())
     x = x.select(
@@ -412,7 +466,8 @@ def implausible(rows: DataFrame, nav: DataFrame) -> DataFrame:
     extent = small_side(source_extent(x))
     cut = extent.where(F.col("segment_s").isNotNull()).select(F.col("_isin2").alias("isin"))
     if cut.limit(1).count():
-        whole, cut = x.join(F.broadcast(cut), "isin", "left_anti"), x.join(F.broadcast(cut), "isin", "left_semi")
+        cut = small_side(cut)
+        whole, cut = x.join(cut, "isin", "left_anti"), x.join(cut, "isin", "left_semi")
         judged = _readings(whole, extent).groupBy("isin").applyInArrow(_judge_whole, JUDGED).unionByName(_judge_cut(_readings(cut, extent)))
     else:
         judged = _readings(x, extent).groupBy("isin").applyInArrow(_judge_whole, JUDGED)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundspark.functions.timestamps import tidy
+from fundspark.operators.pairs import differing_pairs
 from fundspark.session import bounded_broadcast
 
 # Unit, unit, factor, offset.
@@ -112,7 +113,7 @@ def _decimal(text: Column, mark: Column, kind: str) -> Column:
 def quantities(
     spark: SparkSession, rows: DataFrame, cell: str, sources: DataFrame, kind: str, source_col: str = "extracted_by", currency_col: str = "devise"
 ) -> DataFrame:
-    """Adds ``quantity`` (decimal, in fractions for ``kind`` fee and in whole currency units for ``kind`` amount) and ``currency``.
+    """Adds ``quantity`` (decimal, in fractions for ``kind`` fee and in whole currency units for ``kind`` amount), ``currency`` and ``is_amount``.
 
     ``sources``: source_code, decimal_mark, fee_unit, amount_unit. A number
     without unit or currency takes the source's unit; with a currency but
@@ -120,12 +121,12 @@ def quantities(
     Fees: "no fee" is 0, an amount per base its ratio, a flat amount null.
     Null, blank and wordy cells, and rows of an unknown source without unit, give null.
     The sources are broadcast behind a check of their number, the conversions as their size is that of the list of units.
-    Columns of ``rows`` named quantity or currency are replaced.
+    Columns of ``rows`` named quantity, currency or is_amount are replaced.
     """
     src = sources.groupBy(F.col("source_code").alias("_src")).agg(
         F.first("decimal_mark").alias("_mark"), F.first("fee_unit" if kind == "fee" else "amount_unit").alias("_own")
     )
-    x = rows.join(bounded_broadcast(src), F.col(source_col) == F.col("_src"), "left")
+    x = rows.join(bounded_broadcast(src, sources), F.col(source_col) == F.col("_src"), "left")
     x = x.withColumn("_t", tidy(F.col(cell)))
     t = F.col("_t")
     x = x.withColumn("_n", F.regexp_extract(t, _NUMBER, 0)).withColumn(
@@ -155,19 +156,18 @@ def quantities(
     x = x.join(F.broadcast(table), F.col("_u") == F.col("_unit"), "left")
     converted = (F.col("_v").cast("decimal(20,8)") * F.col("_factor") + F.col("_shift")).cast("decimal(33,12)")
     x = x.withColumn("quantity", F.coalesce("_ratio", converted))
-    x = x.withColumn("currency", F.when(F.col("quantity").isNotNull(), F.col("currency")))
+    x = x.withColumn("currency", F.when(F.col("quantity").isNotNull(), F.col("currency"))).withColumn("is_amount", F.lit(kind == "amount"))
     return x.drop("_src", "_mark", "_own", "_t", "_n", "_rest", "_ratio", "_u", "_v", "_unit", "_factor", "_shift")
 
 
-def same_quantity_pairs(rows: DataFrame, id_col: str, cell: str) -> DataFrame:
-    """Pairs (id_a < id_b) of rows of one isin with the same quantity (and currency, for amounts) in strings that differ.
+def same_quantity_pairs(rows: DataFrame, id_col: str, cell: str, field_col: str) -> DataFrame:
+    """(field, id_a < id_b) of rows of one isin and field with the same quantity, and for amounts the same currency, in strings that differ.
 
-    A self-join on (isin, quantity, currency), where AQE splits skewed partitions; null isins and quantities give none.
+    ``rows`` went through ``quantities``, where a fee has no ``currency`` and ``is_amount`` is false. Null isins and quantities give none, nor do
+    amounts whose currency isn't known. Copies of one cell aren't compared with each other (``differing_pairs``).
     """
-    keyed = rows.where(F.col("isin").isNotNull() & F.col("quantity").isNotNull()).select(
-        F.col(id_col).alias("id"), "isin", "quantity", F.coalesce("currency", F.lit("")).alias("currency"), F.col(cell).alias("cell")
+    currency = F.when(F.col("is_amount"), F.col("currency")).otherwise(F.lit(""))
+    keyed = rows.select(
+        F.col(id_col).alias("id"), F.col(field_col).alias("field"), F.col("isin").alias("_isin"), F.col("quantity").alias("_quantity"), currency.alias("_currency"), F.col(cell).alias("stored")
     )
-    a = keyed.withColumnsRenamed({"id": "id_a", "cell": "cell_a"})
-    b = keyed.withColumnsRenamed({"id": "id_b", "cell": "cell_b"})
-    pairs = a.join(b, ["isin", "quantity", "currency"]).where((F.col("id_a") < F.col("id_b")) & (F.col("cell_a") != F.col("cell_b")))
-    return pairs.select("id_a", "id_b").distinct()
+    return differing_pairs(keyed.dropna(), ["field", "_isin", "_quantity", "_currency"], ("field",))

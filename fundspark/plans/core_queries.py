@@ -15,10 +15,12 @@ from fundspark.operators.readings import nav_rows
 from fundspark.operators.rolling import daily_totals, trailing_totals
 from fundspark.operators.spikes import implausible
 from fundspark.operators.units import quantities, same_quantity_pairs
+from fundspark.session import tune
 from fundspark.sources.tables import table
 
 
 def _rows(spark: SparkSession, d: str, keep: tuple[str, ...] = ("nav_id", "received_at")) -> DataFrame:
+    tune(spark)
     return nav_rows(spark, table(spark, d, "nav"), table(spark, d, "nav_feed"), table(spark, d, "fund_sheet"), keep)
 
 
@@ -28,42 +30,45 @@ def _prospectus_dates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return implausible(_rows(spark, d), table(spark, d, "nav")).select("nav_id").distinct()
+    return implausible(_rows(spark, d)).select("nav_id").distinct()
 
 
 def p3_flags(spark: SparkSession, d: str) -> DataFrame:
     """Each implausible row with its kind (impossible, spike, frozen) and score."""
-    return implausible(_rows(spark, d), table(spark, d, "nav"))
+    return implausible(_rows(spark, d))
 
 
+#: Cells of quantities: kind, table, key, fields.
 UNIT_FIELDS = (
-    ("fund_summaries", "summary_id", "frais_gestion_annuels", "fee"),
-    ("fund_summaries", "summary_id", "frais_entree_max", "fee"),
-    ("fund_summaries", "summary_id", "actif_net", "amount"),
-    ("prospectus_data", "prospectus_id", "valeur_initiale_part", "amount"),
+    ("fee", "fund_summaries", "summary_id", ("frais_gestion_annuels", "frais_entree_max")),
+    ("amount", "fund_summaries", "summary_id", ("actif_net",)),
+    ("amount", "prospectus_data", "prospectus_id", ("valeur_initiale_part",)),
 )
 
 
-def _quantities(spark: SparkSession, d: str, name: str, key: str, field: str, kind: str) -> DataFrame:
-    rows = table(spark, d, name).select(key, "isin", "extracted_by", "devise", field)
-    return quantities(spark, rows, field, table(spark, d, "source_units"), kind)
-
-
 def p4_quantities(spark: SparkSession, d: str) -> DataFrame:
     """Each cell of the four fields as one number in the common unit, with its currency for amounts."""
-    parts = [
-        _quantities(spark, d, name, key, field, kind).select(F.lit(field).alias("field"), F.col(key).alias("id"), "isin", "quantity", "currency")
-        for name, key, field, kind in UNIT_FIELDS
-    ]
+    return _quantities(spark, d).select("field", "id", "isin", "quantity", "currency")
+
+
+def _quantities(spark: SparkSession, d: str) -> DataFrame:
+    """The cells of all fields, one row each (a table's fields of one kind from one scan), with quantity and currency."""
+    sources, parts = table(spark, d, "source_units"), []
+    for kind in ("fee", "amount"):
+        cells = [
+            table(spark, d, name).select(
+                F.col(key).alias("id"), "isin", "extracted_by", "devise", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("cell")) for f in fields])).alias("c")
+            )
+            for k, name, key, fields in UNIT_FIELDS
+            if k == kind
+        ]
+        rows = reduce(DataFrame.unionByName, cells).select("id", "isin", "extracted_by", "devise", "c.field", "c.cell")
+        parts.append(quantities(spark, rows, "cell", sources, kind))
     return reduce(DataFrame.unionByName, parts)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    parts = [
-        same_quantity_pairs(_quantities(spark, d, name, key, field, kind), key, field).select(F.lit(field).alias("field"), "id_a", "id_b")
-        for name, key, field, kind in UNIT_FIELDS
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return same_quantity_pairs(_quantities(spark, d), "id", "cell", "field")
 
 
 def p5_moments(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -13,12 +15,14 @@ from pyspark.sql import functions as F
 
 #: Most rows of a side that ``bounded_broadcast`` will ship to every executor.
 BROADCAST_ROWS = 200_000
+#: Largest scan that ``spread`` shuffles.
+SPREAD_BYTES = 256 << 20
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A session for tests and the bench: UTC, AQE on, few shuffle partitions."""
+    """A session for tests and the bench: UTC, AQE on, few shuffle partitions, and the settings of ``tune``."""
     os.environ.setdefault("SPARK_LOCAL_IP", "127.0.0.1")
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("fundspark")
         .config("spark.sql.session.timeZone", "UTC")
@@ -29,18 +33,22 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+    tune(spark)
+    return spark
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package's code to the executors, once a context, so that their Python workers can import it wherever they run.
 
-    The archive is made on the driver and served by it (``addPyFile``).
+    The archive is made on the driver, served by it (``addPyFile``) and removed when it ends.
     """
     sc = spark.sparkContext
     if getattr(sc, "_fundspark_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="fundspark-code-")) / "fundspark.zip"
+    folder = Path(tempfile.mkdtemp(prefix="fundspark-code-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = folder / "fundspark.zip"
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f"fundspark/{f.relative_to(root)}")
@@ -48,14 +56,15 @@ def ship(spark: SparkSession) -> None:
     sc._fundspark_shipped = True
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def bounded_broadcast(df: DataFrame, bound: DataFrame | None = None, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else as it is.
 
-    The count stops after ``max_rows + 1`` rows. Beyond the bound the join is a
-    shuffled one, where AQE splits skewed partitions. Callers pass only a few
+    ``bound`` is a frame with at least as many rows that is cheaper to count
+    (the table that ``df`` groups: its count is read from the file footers). The count stops after ``max_rows + 1`` rows. Beyond
+    the bound the join is a shuffled one, where AQE splits skewed partitions. Callers pass only a few
     short columns, so the bound on rows is one on bytes too.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if (df if bound is None else bound.select()).limit(max_rows + 1).count() <= max_rows else df
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -65,17 +74,22 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where its scan has fewer parts than there are (a small file of one row group), else as it is.
+    """``df`` over all cores where it is a small scan of fewer parts than there are (a small file of one row group), else as it is.
 
     Row-wise work that costs much more than reading is then not left to one
-    task; a large input already has more parts than cores and isn't shuffled.
+    task. What is shuffled is at most SPREAD_BYTES whatever the cluster; a scan above that is never shuffled here.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > SPREAD_BYTES:
+        return df
+    part = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(cores) if max(len(df.inputFiles()), size // part) < cores else df
 
 
 def tune(spark: SparkSession) -> None:
-    """Settings for the long parsing expressions of NAV rows.
+    """Settings of a session in which NAV rows are parsed; for the application to call, no operator does.
 
     Spark may leave a fused stage whose compiled method HotSpot wouldn't
     compile (over 8000 bytes of bytecode); interpreted it takes twice the time

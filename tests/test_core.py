@@ -39,7 +39,9 @@ CASES = [
     ("2017-10-05T19:09:00 UTC+2", "f8", "moment", "2017-10-05T17:09:00"), ("2018-02-13 12:45 America/New_York", "f1", "moment", "2018-02-13T17:45:00"),
     ("22/03/2017 18:45:00 CET", "f8", "moment", "2017-03-22T17:45:00"), ("20161011T164500Z", "f8", "moment", "2016-10-11T16:45:00"), ("1477673100", "f8", "moment", "2016-10-28T16:45:00"),
     ("1513190220000", "f8", "moment", "2017-12-13T18:37:00"), ("24 Dec 2018 12:05:00 AM", "f1", "moment", "2018-12-23T23:05:00"), ("2020-07-12 08:44:31.000 +0200", "f1", "moment", "2020-07-12T06:44:31"),
-    ("27/10/2019 02:30", "f1", "ambiguous", None), ("29/03/2020 02:30", "f1", "nonexistent", None), ("02/10/2018 18:00", "f8", "no_zone", None), ("2019-01-01 10:00 Nowhere/Town", "f1", "nonexistent", None),
+    ("27/10/2019 02:30", "f1", "ambiguous", None), ("29/03/2020 02:30", "f1", "nonexistent", None), ("02/10/2018 18:00", "f8", "no_zone", None), ("2019-01-01 10:00 Nowhere/Town", "f1", "no_zone", None),
+    ("15/03/2045 10:00", "f1", "moment", "2045-03-15T09:00:00"), ("15/07/45 10:00", "f1", "moment", "2045-07-15T08:00:00"), ("15/03/1965 10:00", "f1", "moment", "1965-03-15T09:00:00"),
+    ("15/07/1947 10:00 Europe/London", "f1", "moment", "1947-07-15T08:00:00"), ("30/03/2194 02:30", "f1", "nonexistent", None), ("01/01/1900 00:00", "f4", "moment", "1900-01-01T05:00:00"),
     ("31/02/2024", "f1", "unreadable", None), ("2023-13-45", "f1", "unreadable", None), ("00/00/0000", "f1", "unreadable", None), ("n/a", "f1", "unreadable", None), ("", "f1", "unreadable", None),
     (None, "f1", "unreadable", None), ("12/05/2020 25:00", "f1", "unreadable", None), ("x" * 50_000, "f1", "unreadable", None),
 ]
@@ -110,9 +112,40 @@ def test_spikes_runs_and_ranges(spark):
     v[20], v[21], v[22] = 0.0, -5.0, 99999999.99
     v[30] = None
     rows, nav = rows_of(spark, series_cells(v) + [(900, None, "01/01/2022", "7", "f1"), (901, "A", "bad", "7", "f1")])
-    got = {r.nav_id: r.kind for r in spikes.implausible(rows, nav).collect()}
+    got = {r.nav_id: r.kind for r in spikes.implausible(rows).collect()}
     assert got == {50: "spike", 120: "spike", 121: "spike", 20: "impossible", 21: "impossible", 22: "impossible"} | {k: "frozen" for k in range(200, 212)}
-    assert spikes.implausible(rows.limit(0), nav.limit(0)).count() == 0
+    assert spikes.implausible(rows.limit(0)).count() == 0
+
+
+def test_esd_limits_decide(monkeypatch):
+    rng = np.random.default_rng(6)
+    calm, wild = rng.normal(0, 1, 400), rng.standard_t(2, 400)
+    for r in (calm, wild):
+        low, high, mean, sd, limit = spikes.esd_bounds(*spikes._counted(r), 1e-9)
+        assert limit > 5 and not np.isfinite([low, high]).all() or (np.abs(wild) > 15).any()
+    r = np.r_[calm, [40.0, 41.0, -39.0]]
+    low, high, mean, sd, _ = spikes.esd_bounds(*spikes._counted(r), 1e-9)
+    assert (low, high) == (-39.0, 40.0) and abs(mean) < 0.2 and 0.9 < sd < 1.1  # of the rest, so that extremes don't mask each other
+    assert spikes.esd_bounds(np.zeros(1), np.array([50]), 0.1)[:2] == (-np.inf, np.inf)
+    # textbook limits of the test for 54 values at 5 %
+    assert [round(spikes.esd_limit(54, i, 0.05), 2) for i in (1, 2, 3, 10)] == [3.16, 3.15, 3.14, 3.09]
+    v = 100 * np.exp(np.cumsum(rng.normal(0, 0.002, 300)))
+    v[100] *= 1.05
+    judge = lambda: (spikes.judge_segment(np.arange(300) * 86400, v, np.zeros(300), np.arange(300), np.full(300, 4), 60 * 86400.0)[0] == "spike").sum()
+    assert judge() == 1
+    monkeypatch.setattr(spikes, "esd_limit", lambda *a: 0.0)
+    assert judge() > 20  # nothing but the limits keeps the others out
+
+
+def test_ranges_are_a_source_s_own():
+    rng = np.random.default_rng(2)
+    v = 12e6 * np.exp(np.cumsum(rng.normal(0, 0.002, 400)))
+    at = np.arange(400) * 86400
+    kind, _ = spikes.judge_segment(at, v, np.zeros(400), np.arange(400), np.full(400, 2), 60 * 86400.0)
+    assert (kind == "").all()
+    v[7], v[50:56] = v[7] * 100, 99999999.99 * 40
+    kind, _ = spikes.judge_segment(at, v, np.zeros(400), np.arange(400), np.full(400, 2), 60 * 86400.0)
+    assert set(np.flatnonzero(kind != "")) == {7, *range(50, 56)}
 
 
 def test_coarse_and_constant_series_have_no_frozen_stretches():
@@ -130,9 +163,9 @@ def test_segments_do_not_change_a_verdict(spark, monkeypatch):
     for k in range(40, 900, 97):
         v[k] *= 1.2
     rows, nav = rows_of(spark, [(*c, 24 * k) for k, c in enumerate(series_cells(v))])
-    whole = {r.nav_id for r in spikes.implausible(rows, nav).collect()}
+    whole = {r.nav_id for r in spikes.implausible(rows).collect()}
     monkeypatch.setattr(spikes, "SEGMENT_ROWS", 300)
-    cut = {r.nav_id for r in spikes.implausible(rows, nav).collect()}
+    cut = {r.nav_id for r in spikes.implausible(rows).collect()}
     assert whole == cut == set(range(40, 900, 97))
 
 
@@ -143,11 +176,11 @@ def test_copies_and_one_batch_change_no_verdict(spark, monkeypatch):
     v[60] *= 80
     cells = [(k, "M", (date(2012, 1, 5) + timedelta(days=30 * k)).strftime("%d/%m/%Y"), f"{x:.4f}", "f1", 0) for k, x in enumerate(v)]
     copies = [(1000 * n + c[0], *c[1:]) for c in cells for n in range(1, 40)]
-    want = {(30, "spike"), (60, "spike")}
+    want = {(30, "spike"), (60, "impossible")}
     for limit in (50_000, 500):  # more rows than the limit, fewer times
         monkeypatch.setattr(spikes, "SEGMENT_ROWS", limit)
         rows, nav = rows_of(spark, cells + copies)
-        got = [(r.nav_id % 1000, r.kind) for r in spikes.implausible(rows, nav).collect()]
+        got = [(r.nav_id % 1000, r.kind) for r in spikes.implausible(rows).collect()]
         assert set(got) == want and len(got) == 80
 
 
@@ -155,14 +188,14 @@ def test_cut_sources_have_the_whole_source_s_scale_and_runs(spark, monkeypatch):
     rng = np.random.default_rng(11)
     sd = np.where(np.arange(1500) < 1000, 0.001, 0.02)  # a stretch of its own would have another scale
     v = 100 * np.exp(np.cumsum(rng.normal(0, 1, 1500) * sd))
-    v[1200] *= 1.08
-    v[100:1450:50] *= 1.015
+    v[1200] *= 1.6
+    v[100:1450:50] *= 1.25
     v[401:1000] = v[401]  # over several cuts
     rows, nav = rows_of(spark, series_cells(v, start=date(2018, 1, 1)))
-    whole = {(r.nav_id, r.kind, round(r.score, 2)) for r in spikes.implausible(rows, nav).collect()}
+    whole = {(r.nav_id, r.kind, round(r.score, 2)) for r in spikes.implausible(rows).collect()}
     assert sum(k == "frozen" for _, k, _ in whole) == 598 and any(k == "spike" for _, k, _ in whole)
     monkeypatch.setattr(spikes, "SEGMENT_ROWS", 250)
-    assert {(r.nav_id, r.kind, round(r.score, 2)) for r in spikes.implausible(rows, nav).collect()} == whole
+    assert {(r.nav_id, r.kind, round(r.score, 2)) for r in spikes.implausible(rows).collect()} == whole
 
 
 def test_grid(spark):
@@ -185,6 +218,27 @@ def test_grid(spark):
     assert [r.status for k, r in sorted(got.items()) if k[0] == "M/nav.csv"][4] == "missing"
     assert len([k for k in got if k[0] == "X/nav.csv"]) == 1 and not [k for k in got if k[0] is None or k[0] == "A/nav.csv"]
     assert grid.regular_series(rows.limit(0)).count() == 0
+    gone = [r for r in got.values() if r.status == "missing"]
+    assert gone and all(r.average is None and r.last_value is None and r.coverage == 0 for r in gone)
+
+
+def test_weekends_under_the_weekday_rhythm(spark):
+    cells = [
+        (1, "D", "07/01/2022 12:00:00", "10", "f1"), (2, "D", "08/01/2022 09:00:00", "1000", "f1"), (3, "D", "08/01/2022 15:00:00", "2000", "f1"), (4, "D", "10/01/2022 12:00:00", "20", "f1"),
+        (5, "D", "15/01/2022 10:00:00", "3000", "f1"),
+    ]
+    rows, _ = rows_of(spark, cells)
+    got = {str(r.period_start): r for r in grid.regular_series(rows).collect()}
+    assert sorted(got) == ["2022-01-07", *(f"2022-01-{d}" for d in range(10, 15))]
+    friday, monday = got["2022-01-07"], got["2022-01-10"]
+    assert (friday.readings, friday.average, friday.coverage, friday.last_value) == (1, 10.0, 0.5, 10.0)
+    assert (monday.readings, monday.average, monday.coverage, monday.last_value) == (1, pytest.approx((2000 + 20) / 2), 1.0, 20.0)
+    assert got["2022-01-11"].average == 20.0 and got["2022-01-14"].status == "filled"
+    early, _ = rows_of(spark, [(1, "D", "08/01/2022 09:00:00", "7", "f1"), (2, "D", "11/01/2022 00:00:00", "8", "f1")])
+    first = {str(r.period_start): (r.readings, r.average, r.coverage) for r in grid.regular_series(early).collect()}
+    assert first == {"2022-01-10": (0, 7.0, 1.0), "2022-01-11": (1, 8.0, 0.0)}
+    alone, _ = rows_of(spark, [(1, "D", "08/01/2022 09:00:00", "7", "f1")])
+    assert grid.regular_series(alone).count() == 0
 
 
 def test_trailing_totals_against_brute_force(spark):
@@ -250,12 +304,26 @@ def test_quantities(spark):
 
 def test_same_quantity_pairs(spark):
     rows = spark.createDataFrame(
-        [(1, "A", 1.0, "EUR", "1 €"), (2, "A", 1.0, "EUR", "1 EUR"), (3, "A", 1.0, "USD", "1"), (4, "B", 1.0, "EUR", "1,0"), (5, "A", 1.0, "EUR", "1 €"), (6, None, 1.0, "EUR", "x"), (7, "A", None, None, "y")],
+        [(1, "A", 1.0, "EUR", "1 €"), (2, "A", 1.0, "EUR", "1 EUR"), (3, "A", 1.0, "USD", "1"), (4, "B", 1.0, "EUR", "1,0"), (5, "A", 1.0, "EUR", "1 €"), (6, None, 1.0, "EUR", "x"), (7, "A", None, None, "y"),
+         (8, "A", 1.0, None, "1"), (9, "A", 1.0, None, "1,0"), (2, "A", 1.0, "EUR", "1 EUR")],
         "id int, isin string, quantity double, currency string, cell string",
-    )
-    pairs = {tuple(r) for r in units.same_quantity_pairs(rows, "id", "cell").collect()}
-    want = {(a, b) for a, b in itertools.combinations(range(1, 8), 2)} & {(1, 2), (2, 5)}
-    assert pairs == want
+    ).withColumn("field", F.lit("f"))
+    amounts = {tuple(r) for r in units.same_quantity_pairs(rows.withColumn("is_amount", F.lit(True)), "id", "cell", "field").collect()}
+    assert amounts == {("f", 1, 2), ("f", 2, 5)}
+    fees = {tuple(r) for r in units.same_quantity_pairs(rows.withColumn("is_amount", F.lit(False)), "id", "cell", "field").collect()}
+    assert {("f", 1, 2), ("f", 3, 9), ("f", 2, 5), ("f", 8, 9)} <= fees and ("f", 3, 8) not in fees and ("f", 1, 5) not in fees
+
+
+def test_differing_pairs_against_brute_force(spark):
+    from fundspark.operators.pairs import differing_pairs
+
+    rng = np.random.default_rng(8)
+    data = [(k, int(rng.integers(0, 6)), "abcd"[int(rng.integers(0, 4))], 0) for k in range(120)] + [(k, 9, "same", 0) for k in range(200, 400)] + [(5, 1, "a", 0)]
+    rows = spark.createDataFrame(data, "id bigint, key int, stored string, _lo int")
+    want = {(min(a[0], b[0]), max(a[0], b[0])) for a, b in itertools.combinations(data, 2) if a[1] == b[1] and a[2] != b[2] and a[0] != b[0]}
+    got = differing_pairs(rows, ["key"]).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert differing_pairs(rows.limit(0), ["key"]).count() == 0
 
 
 def test_document_dates_are_day_first(spark):
