@@ -6,10 +6,10 @@ as-of join of :mod:`fundspark.functions.zones`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fundspark.functions.zones import named_zones, resolve_local, zone_intervals
+from fundspark.functions.zones import resolve_local
 
 # Month names and short forms in fr, en, de, es, without accents.
 MONTHS = {
@@ -154,16 +154,13 @@ def parse_cells(df: DataFrame, cell: str, day_first: Column | None = None, feed_
     )
 
 
-def resolve(df: DataFrame, spark: SparkSession, zones: DataFrame | None = None) -> DataFrame:
+def resolve(df: DataFrame, zones: DataFrame) -> DataFrame:
     """After ``parse_cells``: adds ``utc_s`` (the moment, in seconds) and ``date_status``.
 
     The status is ``moment``, ``day`` (no clock time), ``ambiguous``,
     ``nonexistent``, ``no_zone`` (clock time without a known zone, or in one of unknown name) or
-    ``unreadable`` (null, blank, not a date, impossible). ``zones``: intervals of all zones that occur (default: found by a distinct over the rows, which is bounded by the list of IANA names).
+    ``unreadable`` (null, blank, not a date, impossible). ``zones``: ``zone_intervals`` of all zones that occur.
     """
-    if zones is None:
-        known = {z.lower(): z for z in named_zones()}
-        zones = zone_intervals(spark, tuple(known[r.z] for r in df.select(F.col("zone_key").alias("z")).where(F.col("z").isin(*known)).distinct().collect()))
     df = resolve_local(df, "zone_key", "local_s", zones)
     offset = F.coalesce(F.col("fixed_s"), F.col("zone_offset_s"))
     return df.withColumn("utc_s", F.coalesce(F.col("epoch_s"), F.col("local_s") - offset)).withColumn(

@@ -48,7 +48,7 @@ def nav_rows(spark: SparkSession, nav: DataFrame, feeds: DataFrame, sheets: Data
     rows = spread(nav.select(*dict.fromkeys(("isin", "nav_file", "date", "nav", "feed_code", *keep))))
     rows = rows.join(bounded_broadcast(feeds, feed_rows), "feed_code", "left")
     rows = rows.join(bounded_broadcast(sheets, sheet_rows), F.col("isin") == F.col("_isin"), "left").drop("_isin")
-    rows = resolve(parse_cells(rows, "date", F.col("day_first"), F.col("feed_tz")), spark, zones)
+    rows = resolve(parse_cells(rows, "date", F.col("day_first"), F.col("feed_tz")), zones)
     moment = F.timestamp_seconds("utc_s")
     shown = F.when(F.col("tz_name").isNull(), moment).otherwise(F.from_utc_timestamp(moment, F.col("tz_name")))
     at = F.when(F.col("date_status") == "moment", F.unix_seconds(shown)).otherwise(

@@ -26,7 +26,7 @@ def _rows(spark: SparkSession, d: str, keep: tuple[str, ...] = ("nav_id", "recei
 
 def _prospectus_dates(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "prospectus_data").select("prospectus_id", "isin", "date_document")
-    return resolve(parse_cells(rows, "date_document"), spark, zone_intervals(spark, zones_in(rows, "date_document")))
+    return resolve(parse_cells(rows, "date_document"), zone_intervals(spark, zones_in(rows, "date_document")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -328,5 +328,5 @@ def test_differing_pairs_against_brute_force(spark):
 
 def test_document_dates_are_day_first(spark):
     df = spark.createDataFrame([(1, "03/04/2020"), (2, None)], "id int, c string")
-    got = {r.id: (r.date_status, str(r.day_written)) for r in resolve(parse_cells(df, "c"), spark).collect()}
+    got = {r.id: (r.date_status, str(r.day_written)) for r in resolve(parse_cells(df, "c"), zone_intervals(spark, ())).collect()}
     assert got == {1: ("day", "2020-04-03"), 2: ("unreadable", "None")}
