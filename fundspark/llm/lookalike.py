@@ -13,6 +13,8 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fundspark.operators.pairs import differing_pairs
+
 if TYPE_CHECKING:
     import pyarrow as pa
 
@@ -25,6 +27,10 @@ LOOKALIKES = {
     "ІЇ": "IÏ",
     "ёЁїӓӒӧӦ": "ëËïäÄöÖ",
     "ԌԚԜ": "GQW",
+    "ѵүӏԌ": "vylG",
+    "ѴҮӀ": "VYI",
+    "օսոհցզՕՍՏԼ": "ounhgqOUSL",
+    "ν": "v",
     "ꓐꓑꓒꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ": "BPdDTGKJCZFMNLSRVHWXYAEIOU",
     "‐‑": "--",
 }
@@ -102,19 +108,20 @@ def _forms(with_text: bool):
             yield pa.record_batch(
                 [
                     batch.column(0),
+                    *batch.columns[2:],
                     pa.array(flat if with_text else [None] * len(flat), pa.string()).take(at),
                     pa.array([digest(a) if a else None for a in flat], pa.binary()).take(at),
                     pa.array([digest(b) if b else None for b in look], pa.binary()).take(at),
                     pa.array([digest(w) for w in words], pa.binary()).take(at),
                 ],
-                names=["id", "normal", "flat_key", "look_key", "stored_key"],
+                names=["id", *batch.schema.names[2:], "normal", "flat_key", "look_key", "stored_key"],
             )
 
     return forms
 
 
-def normalise(rows: DataFrame, with_text: bool = True) -> DataFrame:
-    """Of each row of ``rows`` (id, text; other columns are dropped): ``normal``, the consistent form, and 128-bit keys.
+def normalise(rows: DataFrame, with_text: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Of each row of ``rows`` (id, text and strings to ``keep``; other columns are dropped): ``normal``, the consistent form, and 128-bit keys.
 
     ``flat_key`` is that of the consistent form, ``look_key`` that of the
     form which keeps what a reader can tell apart, ``stored_key`` that of the
@@ -122,17 +129,15 @@ def normalise(rows: DataFrame, with_text: bool = True) -> DataFrame:
     Without ``with_text`` the form itself stays out (null), as where only keys are compared.
     No shuffle; each distinct value of a batch is normalised once.
     """
-    return rows.select("id", "text").mapInArrow(_forms(with_text), "id bigint, normal string, flat_key binary, look_key binary, stored_key binary")
+    kept = "".join(f"{k} string, " for k in keep)
+    return rows.select("id", "text", *keep).mapInArrow(_forms(with_text), f"id bigint, {kept}normal string, flat_key binary, look_key binary, stored_key binary")
 
 
-def look_alike_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (id_a < id_b) of non-blank texts that look the same but aren't stored with the same characters.
+def look_alike_pairs(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(``by``, id_a < id_b) of the non-blank texts of ``rows`` (id, text, ``by``), within equal ``by``, that look the same but aren't stored with the same characters.
 
-    Rows meet on the key of the consistent form; the exact check on the
-    looks follows in the same join. Only keys are shuffled, no texts; AQE splits a key that holds many rows.
+    Rows meet on the key of the consistent form and, as the exact check, on that of the looks, which keeps case and raised
+    digits. Only keys are shuffled, no texts; copies of one text aren't compared with each other (``differing_pairs``).
     """
-    keys = normalise(rows, with_text=False).where(F.col("flat_key").isNotNull() & F.col("look_key").isNotNull()).select("id", "flat_key", "look_key", "stored_key")
-    a = keys.withColumnsRenamed({"id": "id_a", "stored_key": "stored_a"})
-    b = keys.withColumnsRenamed({"id": "id_b", "stored_key": "stored_b"})
-    pairs = a.join(b, ["flat_key", "look_key"]).where((F.col("id_a") < F.col("id_b")) & (F.col("stored_a") != F.col("stored_b")))
-    return pairs.select("id_a", "id_b").distinct()
+    keys = normalise(rows, with_text=False, keep=by).select("id", *by, "flat_key", "look_key", F.col("stored_key").alias("stored"))
+    return differing_pairs(keys.dropna(), [*by, "flat_key", "look_key"], by)

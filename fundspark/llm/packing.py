@@ -125,7 +125,7 @@ def pack(items: DataFrame, specs: list[tuple[str, int]], shards: int) -> DataFra
     """
     spec = F.explode(F.array(*[F.struct(F.lit(c).alias("spec_code"), F.lit(int(n)).alias("capacity")) for c, n in specs]))
     shard = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(shards)).cast("int")
-    x = items.select("doc_id", F.coalesce("tokens", F.lit(0)).alias("tokens"), shard.alias("shard"), spec.alias("s"))
+    x = items.select("doc_id", F.coalesce(F.col("tokens").cast("bigint"), F.lit(0)).alias("tokens"), shard.alias("shard"), spec.alias("s"))
     x = x.select("doc_id", "tokens", "shard", "s.spec_code", "s.capacity")
     return x.groupBy("spec_code", "shard").applyInArrow(_pack, RESULT)
 

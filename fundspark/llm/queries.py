@@ -14,23 +14,19 @@ from fundspark.sources.tables import table
 TEXT_TABLES = (("page_text", "page_id"), ("parent_chunk", "chunk_no"))
 
 
-def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    parts = [
-        lookalike.look_alike_pairs(table(spark, d, name).select(F.col(key).cast("bigint").alias("id"), "text")).select(
-            F.lit(name).alias("tbl"), "id_a", "id_b"
-        )
-        for name, key in TEXT_TABLES
-    ]
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    """(tbl, id, text) of pages and parent chunks."""
+    parts = [table(spark, d, name).select(F.lit(name).alias("tbl"), F.col(key).cast("bigint").alias("id"), "text") for name, key in TEXT_TABLES]
     return reduce(DataFrame.unionByName, parts)
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.look_alike_pairs(_pages(spark, d), ("tbl",))
+
+
 def p1_normalised(spark: SparkSession, d: str) -> DataFrame:
     """The consistent form of every page and parent chunk."""
-    parts = [
-        lookalike.normalise(table(spark, d, name).select(F.col(key).cast("bigint").alias("id"), "text")).select(F.lit(name).alias("tbl"), "id", "normal")
-        for name, key in TEXT_TABLES
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return lookalike.normalise(_pages(spark, d), keep=("tbl",)).select("tbl", "id", "normal")
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -54,8 +50,7 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     specs = [(r.spec_code, r.capacity_tokens, r.tokenizer) for r in table(spark, d, "container_spec").orderBy("spec_code").collect()]
     parts = []
     for name in sorted({t for _, _, t in specs}):
-        sizes = tokens.encode(spark, docs, name).select("doc_id", F.size("ids").alias("tokens"))
-        parts.append(packing.pack(sizes, [(c, n) for c, n, t in specs if t == name], shards))
+        parts.append(packing.pack(tokens.sizes(spark, docs, name), [(c, n) for c, n, t in specs if t == name], shards))
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], packing.RESULT)
 
 

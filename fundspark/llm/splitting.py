@@ -1,12 +1,13 @@
 """Oversized sections into pieces, by structure-tree packing.
 
-The text is a tree of headings, paragraphs, list items and lines, sentences,
-clauses and words. Sibling subtrees are merged bottom-up to the limit; only
+The text is parsed into a tree of headings, blocks (paragraphs, tables, fenced code), nested list items and lines; sentences,
+clauses and words are its lowest nodes. Sibling subtrees are merged bottom-up to the limit; only
 oversized nodes are descended into. Every character lies in a piece.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from typing import TYPE_CHECKING
 
@@ -19,46 +20,126 @@ if TYPE_CHECKING:
     import pyarrow as pa
 
 DEFAULT_CONFIG = "defaut"
-_NL = r"(?:\r\n|\r|\n)"
-
-# Where the children of a node begin, from the outermost level to words; the last level, single characters, needs no pattern.
-LEVELS = (
-    rf"(?<![^\r\n])(?=# )",
-    rf"(?<![^\r\n])(?=#{{1,2}} )",
-    rf"(?<![^\r\n])(?=#{{1,3}} )",
-    rf"(?<![^\r\n])(?=#{{1,6}} )",
-    rf"(?<![^\r\n])(?=(?:\d+(?:\.\d+)*[.)]? |[IVXLC]+\. |(?i:article|section|abschnitt|artículo|chapitre) \d)[^\r\n]{{1,100}}(?:[\r\n]|$))",
-    rf"(?<=[\r\n]){_NL}+(?=[^\r\n])|\n\n+(?=[^\r\n])",
-    rf"{_NL}(?=\s*(?:[-*•–·]|\d+[.)]|[a-z][.)]) )",
-    rf"{_NL}(?=[^\r\n])",
+
+# Ranks of the places where a node of the tree begins, outermost first: headings by level, blocks (paragraphs, tables, code), list items by depth, lines; below them the levels inside a line.
+HEADING, NUMBERED, BLOCK, ITEM, LINE = 0, 6, 10, 11, 19
+#: List items nest as deep as this; deeper ones count as this deep.
+MOST_DEEP = LINE - ITEM - 1
+INSIDE = (
     r"(?:[.!?…]+[\"»”')\]]*\s+)(?=\S)|[。！？]",
     r"[;:](?:\s+)(?=\S)|[；：]",
     r",\s+(?=\S)|[，、]",
     r"\s+(?=\S)",
 )
 
-RESULT = "section_id bigint, parent_no int, piece_no int, begin int, end int, text string"
+# A line by its form: heading marks or tag, number of a heading, list mark, table row, code fence, rule below a heading.
+_LINE = (
+    r"(?P<blank>\s*$)|(?P<fence>\s*(?:```|~~~))|(?P<under>={3,}\s*$|-{3,}\s*$)|(?P<hashes>#{1,6})\s|<(?P<tag>h[1-6])\b|"
+    r"(?P<row>\s*\||[^\n]*\t[^\n]*\t|\s*<t[rdh]\b)|(?P<indent>\s*)(?:[-*+•–·]|\d{1,3}[.)]|[a-z][.)]|<li\b)\s?(?=\S)|"
+    r"(?P<word>(?i:article|section|abschnitt|artículo|chapitre|chapter|kapitel)\s\d|[IVXLC]+[.)]\s)|<(?P<block>p|div|ul|ol|table|section|blockquote|pre)\b"
+)
+_NUMBER = r"(?P<number>\d+(?:\.\d+)*)[.)]?\s[^\r\n]{1,100}$"
 
 
-def _children(text: str, a: int, b: int, level: int) -> list[tuple[int, int]]:
-    cuts = [m.end() for m in _patterns()[level].finditer(text, a, b) if a < m.end() < b]
-    edges = [a, *cuts, b]
-    return list(zip(edges[:-1], edges[1:]))
+RESULT = "section_id bigint, parent_no int, piece_no int, begin int, end int, text string, child_size int, parent_max_chars int"
 
 
-_KEPT: list = []
+_KEPT: dict = {}
 
 
-def _patterns() -> list:
-    if not _KEPT:
-        import re
+def _compiled(pattern: str):
+    import re
 
-        _KEPT.extend(re.compile(p) for p in LEVELS)
-    return _KEPT
+    if pattern not in _KEPT:
+        _KEPT[pattern] = re.compile(pattern)
+    return _KEPT[pattern]
 
 
-def pack_tree(text: str, a: int, b: int, limit: int) -> list[tuple[int, int]]:
-    """Consecutive spans that cover text[a:b], each at most ``limit`` long and cut as high in the tree as possible."""
+def structure(text: str) -> list[list[int]]:
+    """The tree of a text as the places where a node of each rank begins, rising.
+
+    One pass over the lines. A heading holds what follows up to the next one of its rank or a higher one; blank lines,
+    tables and fenced code make blocks; list items nest by their indentation; other lines belong to the item or paragraph
+    before them. Headings and list marks inside fences, and lines of a table, stay in their block.
+    """
+    starts: list[list[int]] = [[] for _ in range(LINE + 1)]
+    line, number, at = _compiled(_LINE), _compiled(_NUMBER), 0
+    indents: list[int] = []  # of the open list items
+    fence, row, after_blank, last = False, False, True, 0
+    while at < len(text):
+        end = _line_end(text, at)
+        own = text[at:end]
+        m = line.match(own)
+        kind = m.lastgroup if m else None
+        rank = LINE
+        if fence:
+            fence = kind != "fence"
+        elif kind == "blank":
+            after_blank = True
+            at = _next_line(text, end)
+            continue
+        elif kind == "fence":
+            fence, rank = True, BLOCK
+        elif kind == "under" and not after_blank:
+            # the line before is a heading
+            starts[HEADING if own[0] == "=" else HEADING + 1].append(last)
+        elif kind == "hashes":
+            rank = HEADING + len(m["hashes"]) - 1
+        elif kind == "tag":
+            rank = HEADING + int(m["tag"][1]) - 1
+        elif kind == "row":
+            rank = LINE if row and not after_blank else BLOCK
+        elif kind == "word":
+            rank = NUMBERED
+        elif after_blank and (n := number.match(own)):
+            rank = NUMBERED + min(n["number"].count("."), BLOCK - NUMBERED - 1)
+        elif kind == "indent":
+            deep = len(m["indent"].expandtabs(4))
+            while indents and indents[-1] > deep:
+                indents.pop()
+            if not indents or indents[-1] < deep:
+                indents.append(deep)
+            rank = ITEM + min(len(indents) - 1, MOST_DEEP)
+        elif kind == "block" or after_blank:
+            rank = BLOCK
+        if rank <= BLOCK:
+            indents.clear()
+        row = kind == "row"
+        if at:
+            starts[rank].append(at)
+        after_blank, last = False, at
+        at = _next_line(text, end)
+    return starts
+
+
+def _line_end(text: str, at: int) -> int:
+    m = _compiled(r"[\r\n]").search(text, at)
+    return m.start() if m else len(text)
+
+
+def _next_line(text: str, end: int) -> int:
+    return end + 2 if text[end : end + 2] == "\r\n" else end + 1
+
+
+def _children(text: str, starts: list[list[int]], a: int, b: int, rank: int) -> list[tuple[int, int]]:
+    """The nodes of a rank in text[a:b]."""
+    if rank <= LINE:
+        own = starts[rank]
+        cuts = own[bisect_right(own, a) : bisect_left(own, b)]
+    else:
+        cuts = [m.end() for m in _compiled(INSIDE[rank - LINE - 1]).finditer(text, a, b) if a < m.end() < b]
+    edges = [a, *cuts, b]
+    return list(zip(edges[:-1], edges[1:]))
+
+
+def pack_tree(text: str, a: int, b: int, limit: int, starts: list[list[int]] | None = None) -> list[tuple[int, int]]:
+    """Consecutive spans that cover text[a:b], each at most ``limit`` long and cut as high in the tree as possible.
+
+    Siblings are merged up to the limit, only oversized nodes are descended into. ``starts``: ``structure`` of the text.
+    """
+    if b - a <= limit:
+        return [(a, b)]
+    starts = structure(text) if starts is None else starts
     out: list[tuple[int, int]] = []
     stack = [(a, b, 0)]  # nodes still to be packed, the next one last
     open_ = False  # whether the last span may still take siblings
@@ -73,7 +154,7 @@ def pack_tree(text: str, a: int, b: int, limit: int) -> list[tuple[int, int]]:
             else:
                 out.append((a, b))
             open_ = True
-        elif level == len(LEVELS):
+        elif level == LINE + 1 + len(INSIDE):
             # no boundary left: fixed cuts, never before a combining mark
             import unicodedata
 
@@ -88,7 +169,7 @@ def pack_tree(text: str, a: int, b: int, limit: int) -> list[tuple[int, int]]:
             out.append((a, b))
             open_ = True
         else:
-            nodes = _children(text, a, b, level)
+            nodes = _children(text, starts, a, b, level)
             # what stands before an oversized node isn't merged with its insides, apart from a short head
             if open_ and out and out[-1][1] - out[-1][0] > limit // 4:
                 open_ = False
@@ -108,11 +189,14 @@ def pieces(text: str, size: int, overlap: int, parent_max: int) -> list[tuple[in
     size, parent_max = max(1, size), max(1, parent_max)
     overlap = min(max(0, overlap), size - 1)
     out = []
-    for no, (a, b) in enumerate(pack_tree(text, 0, len(text), parent_max) if text else []):
+    if not text or len(text) <= min(size, parent_max):
+        return [(0, 0, len(text))] if text else []
+    starts = structure(text)
+    for no, (a, b) in enumerate(pack_tree(text, 0, len(text), parent_max, starts)):
         if b - a <= size:
             out.append((no, a, b))
             continue
-        for x, y in pack_tree(text, a, b, size - overlap):
+        for x, y in pack_tree(text, a, b, size - overlap, starts):
             out.append((no, max(a, x - overlap), y))
     return out
 
@@ -120,8 +204,8 @@ def pieces(text: str, size: int, overlap: int, parent_max: int) -> list[tuple[in
 def _split(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
     import pyarrow as pa
 
-    names = ["section_id", "parent_no", "piece_no", "begin", "end", "text"]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+    names = ["section_id", "parent_no", "piece_no", "begin", "end", "text", "child_size", "parent_max_chars"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32()]
 
     def send(rows: list) -> pa.RecordBatch:
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
@@ -130,7 +214,7 @@ def _split(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.Re
     for batch in batches:
         for key, text, size, overlap, most in zip(*(c.to_pylist() for c in batch.columns)):
             for k, (no, a, b) in enumerate(pieces(text or "", size, overlap, most)):
-                rows.append((key, no, k, a, b, text[a:b] if with_text else None))
+                rows.append((key, no, k, a, b, text[a:b] if with_text else None, size, most))
                 chars += b - a if with_text else 100
                 if chars > 4_000_000:
                     yield send(rows)
@@ -149,7 +233,7 @@ def split_sections(sections: DataFrame, configs: DataFrame, with_text: bool = Tr
     Without ``with_text`` only the places of the pieces come out.
     """
     c = configs.groupBy(F.col("config_code").alias("_c")).agg(*[F.first(x).alias(x) for x in ("child_size", "child_overlap", "parent_max_chars")])
-    c = bounded_broadcast(c)
+    c = bounded_broadcast(c, configs)
     own = sections.select("section_id", "text", "config_code").join(c, F.col("config_code") == F.col("_c"), "left").drop("_c")
     names = ("child_size", "child_overlap", "parent_max_chars")
     plain = configs.where(F.col("config_code") == DEFAULT_CONFIG).select(*names).first() or (800, 120, 12_000)
@@ -158,7 +242,9 @@ def split_sections(sections: DataFrame, configs: DataFrame, with_text: bool = Tr
 
 
 def over_limit(parts: DataFrame) -> DataFrame:
-    """(section_id, limit_name) of the sections that were cut: more than one piece, more than one parent."""
-    cut = parts.where((F.col("piece_no") == 1) | (F.col("parent_no") == 1))
-    name = F.explode(F.filter(F.array(F.when(F.col("piece_no") == 1, "child_size"), F.when(F.col("parent_no") == 1, "parent_max_chars")), lambda n: n.isNotNull()))
-    return cut.select("section_id", name.alias("limit_name")).distinct()
+    """(section_id, limit_name) of the sections that are longer than a limit of theirs: a piece ends beyond it.
+
+    Pieces cover their section, so the last one ends at its length; that a section was cut doesn't tell by which limit.
+    """
+    over = F.filter(F.array(*[F.when(F.col("end") > F.col(n), n) for n in ("child_size", "parent_max_chars")]), lambda n: n.isNotNull())
+    return parts.where(F.col("end") > F.least("child_size", "parent_max_chars")).select("section_id", F.explode(over).alias("limit_name")).distinct()

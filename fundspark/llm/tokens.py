@@ -26,10 +26,12 @@ TOKENIZER_DIR = os.environ.get("FUNDSPARK_TOKENIZERS", "/opt/tokenizers")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of text in a block (a longer text makes a block of its own) and words whose ids a task remembers.
 BLOCK_CHARS, REMEMBERED_WORDS = 1_000_000, 1_000_000
+#: The words of a block that come first by frequency, and over how many keys such a word's blocks are spread.
+FREQUENT_WORDS, SALTS = 4096, 64
 
 # A row of a block's word: its number in the block. The block's own row (number -1): the numbers of its words in order, packed, and the words of each document.
 _BLOCKS = "block bigint, word string, no int, sequence binary, counts binary, docs array<bigint>"
-_CODED = "block bigint, no int, ids binary, sequence binary, counts binary, docs array<bigint>"
+_CODED = "block bigint, no int, ids binary, size int, sequence binary, counts binary, docs array<bigint>"
 
 
 def read_ranks(tokenizer: str, folder: str = TOKENIZER_DIR) -> bytes:
@@ -116,45 +118,53 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield send(docs, counts, known, flat)
 
 
-def _code_words(raw):
+def _code_words(raw, with_ids: bool):
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         import pyarrow as pa
 
         one = _encoder(raw.value)._encode_single_piece
-        known: dict[str, bytes] = {}
+        known: dict[str, tuple[bytes | None, int]] = {}
         for batch in batches:
-            ids = []
+            ids, sizes = [], []
             for w, no in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if no < 0:
                     ids.append(None)
+                    sizes.append(0)
                     continue
                 got = known.get(w)
                 if got is None:
                     if len(known) >= REMEMBERED_WORDS:
                         known.clear()
-                    got = known[w] = np.array(one(w), np.int32).tobytes()
-                ids.append(got)
-            cols = [batch.column(0), batch.column(2), pa.array(ids, pa.binary()), *batch.columns[3:]]
-            yield pa.record_batch(cols, names=["block", "no", "ids", "sequence", "counts", "docs"])
+                    new = one(w)
+                    got = known[w] = (np.array(new, np.int32).tobytes() if with_ids else None, len(new))
+                ids.append(got[0])
+                sizes.append(got[1])
+            cols = [batch.column(0), batch.column(2), pa.array(ids, pa.binary()), pa.array(sizes, pa.int32()), *batch.columns[3:6]]
+            yield pa.record_batch(cols, names=["block", "no", "ids", "size", "sequence", "counts", "docs"])
 
     return code
 
 
-def _assemble(table: pa.Table) -> pa.Table:
+def _opened(table: pa.Table):
+    """Documents of a block, words of each, its words in order, and rows and sizes of the words by their number."""
     import numpy as np
-    import pyarrow as pa
 
     no = table.column("no").to_numpy()
     own = int(np.flatnonzero(no < 0)[0])
-    doc_ids = table.column("docs")[own].as_py()
-    per_doc = np.frombuffer(table.column("counts")[own].as_py(), np.int32)
-    sequence = _unpacked(table.column("sequence")[own].as_py())
-    coded = table.column("ids").combine_chunks()
-    size = np.zeros(len(no) - 1, np.int64)
     words = np.flatnonzero(no >= 0)
-    parts = coded.take(pa.array(words[np.argsort(no[words])])).to_pylist()
-    size[:] = [len(x) // 4 for x in parts]
+    words = words[np.argsort(no[words])]
+    per_doc = np.frombuffer(table.column("counts")[own].as_py(), np.int32)
+    size = table.column("size").to_numpy()[words].astype(np.int64)
+    return table.column("docs")[own].as_py(), per_doc, _unpacked(table.column("sequence")[own].as_py()), words, size
+
+
+def _assemble(table: pa.Table) -> pa.Table:
+    import numpy as np
+    import pyarrow as pa
+
+    doc_ids, per_doc, sequence, words, size = _opened(table)
+    parts = table.column("ids").combine_chunks().take(pa.array(words)).to_pylist()
     ids = np.frombuffer(b"".join(parts), np.int32)
     start = np.cumsum(size) - size  # of each word's ids
     long = size[sequence] if len(sequence) else np.zeros(0, np.int64)
@@ -164,6 +174,28 @@ def _assemble(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat, pa.int32()))})
 
 
+def _add_up(table: pa.Table) -> pa.Table:
+    import numpy as np
+    import pyarrow as pa
+
+    doc_ids, per_doc, sequence, _, size = _opened(table)
+    upto = np.r_[0, np.cumsum(size[sequence])] if len(sequence) else np.zeros(1, np.int64)
+    cuts = np.r_[0, np.cumsum(per_doc)]
+    return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "tokens": pa.array(upto[cuts[1:]] - upto[cuts[:-1]], pa.int64())})
+
+
+def _coded(spark: SparkSession, docs: DataFrame, tokenizer: str, folder: str, with_ids: bool):
+    """The blocks' words, coded and grouped by block again.
+
+    A word that is among the most frequent of its block comes from nearly every block of the corpus, so its rows are spread
+    over SALTS keys by block; rarer words meet on one key. Each key is coded once, so either way gives the same ids.
+    """
+    raw = spark.sparkContext.broadcast(read_ranks(tokenizer, folder))
+    words = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_blocks, _BLOCKS)
+    salt = F.when(F.col("no").between(0, FREQUENT_WORDS - 1), F.pmod(F.xxhash64("block"), F.lit(SALTS))).otherwise(0)
+    return words.repartition("word", salt).mapInArrow(_code_words(raw, with_ids), _CODED).groupBy("block")
+
+
 def encode(spark: SparkSession, docs: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:
     """(doc_id, ids) of each row of ``docs`` (doc_id, text; other columns are dropped), without special tokens.
 
@@ -171,10 +203,12 @@ def encode(spark: SparkSession, docs: DataFrame, tokenizer: str = "byte_bpe_50k"
     and null doc_ids too. Words are spread by their hash and a word comes once
     per block of about a million characters, so that neither a frequent word nor a long text fills a task.
     """
-    raw = spark.sparkContext.broadcast(read_ranks(tokenizer, folder))
-    words = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_blocks, _BLOCKS)
-    coded = words.repartition("word").mapInArrow(_code_words(raw), _CODED)
-    return coded.groupBy("block").applyInArrow(_assemble, "doc_id bigint, ids array<int>")
+    return _coded(spark, docs, tokenizer, folder, True).applyInArrow(_assemble, "doc_id bigint, ids array<int>")
+
+
+def sizes(spark: SparkSession, docs: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:
+    """(doc_id, tokens): the number of ids that ``encode`` gives, without making the lists; only the number of ids of each word returns to its block."""
+    return _coded(spark, docs, tokenizer, folder, False).applyInArrow(_add_up, "doc_id bigint, tokens bigint")
 
 
 def token_table(spark: SparkSession, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:

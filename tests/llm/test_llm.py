@@ -100,6 +100,20 @@ def test_natural_boundaries():
     assert [text[a:b] for _, a, b in splitting.pieces(text, 25, 0, 1000)][0].endswith("ici. ")
 
 
+def test_nested_lists_tables_and_fences():
+    cut = lambda text, size: [text[a:b] for _, a, b in splitting.pieces(text, size, 0, 10_000)]
+    items = "- un\n  - un un\n  - un deux\n- deux\n  - deux un\n"
+    assert cut(items, 30) == ["- un\n  - un un\n  - un deux\n", "- deux\n  - deux un\n"]
+    table = "Avant le tableau.\n| a | b |\n| 1 | 2 |\n| 3 | 4 |\nAprès lui, la suite."
+    assert all(x.count("|") % 3 == 0 for x in cut(table, 34)) and cut(table, 50)[0].startswith("Avant")
+    code = "# Titre\n```\n# pas un titre\nx = 1\n```\n\n# Autre\nfin\n"
+    assert cut(code, 45) == ["# Titre\n```\n# pas un titre\nx = 1\n```\n\n", "# Autre\nfin\n"]
+    assert cut("Un\n===\ntexte\n\nDeux\n---\nautre", 20)[1].startswith("Deux")
+    html = "<h1>A</h1>\n<p>un deux</p>\n<h1>B</h1>\n<p>trois</p>\n"
+    assert cut(html, 30) == ["<h1>A</h1>\n<p>un deux</p>\n", "<h1>B</h1>\n<p>trois</p>\n"]
+    assert cut("1. Un\n\n1.1 Sous un\n\ntexte\n\n2. Deux\n\nfin", 30)[-1].startswith("2. Deux")
+
+
 def test_split_sections_rows(spark):
     cfg = spark.createDataFrame([("defaut", 20, 5, 50), ("court", 10, 0, 30)], "config_code string, child_size int, child_overlap int, parent_max_chars int")
     data = [(1, "mot " * 20, None), (2, "court", "court"), (3, None, "court"), (4, "", None), (5, " " * 45, "court"), (6, "mot " * 20, "inconnu"), (7, "x" * 20_000, "court")]
@@ -112,6 +126,9 @@ def test_split_sections_rows(spark):
         assert covered == (text or "")
     found = {tuple(r) for r in splitting.over_limit(out).collect()}
     assert found == {(k, n) for k in (1, 5, 6, 7) for n in ("child_size", "parent_max_chars")}
+    wide = spark.createDataFrame([("defaut", 100, 5, 30)], "config_code string, child_size int, child_overlap int, parent_max_chars int")
+    below = spark.createDataFrame([(1, "x" * 48, None), (2, "y" * 120, None), (3, "z" * 30, None)], "section_id bigint, text string, config_code string")
+    assert {tuple(r) for r in splitting.over_limit(splitting.split_sections(below, wide, with_text=False)).collect()} == {(1, "parent_max_chars"), (2, "child_size"), (2, "parent_max_chars")}
     assert splitting.split_sections(secs.limit(0), cfg).count() == 0
 
 
@@ -162,6 +179,32 @@ CONTENT = [
 ]
 
 
+# sentences that the lexicon wasn't made from
+HELD_OUT_RESIDUE = [
+    "This page isn't working", "Just a moment... Verifying you are human", "Oops! That page can’t be found", "Seite wurde nicht gefunden", "you don't have permission to access this resource",
+    "muss JavaScript aktiviert sein", "Debe activar JavaScript", "needs JS to work", "Insert text here", "Texte à remplacer", "Sed ut perspiciatis unde omnis iste natus error sit voluptatem", "Hello %(name)s",
+    "The requested URL was not found on this server.", "Votre session n'est plus valide. Veuillez vous reconnecter.", "Unable to connect to the database", "La página solicitada no existe", "Platzhaltertext",
+]
+HELD_OUT_CONTENT = [
+    "Un incident technique chez le dépositaire a retardé la valeur liquidative", "A technical problem at the custodian delayed the valuation", "We are sorry to announce the departure of our manager",
+    "contact support at the transfer agent", "Lo sentimos por los inversores", "why trading venues return a bad gateway", "The fund is not available to US persons.", "Aucune donnée n'est disponible avant 2015.",
+    "Le rapport annuel est disponible sur simple demande.", "Please read the prospectus before investing.", "Der Dienst wurde 2019 eingestellt.", "The custodian refused the transfer.", "L'accès au marché chinois reste limité.",
+]
+
+
+def test_residue_of_held_out_sentences():
+    found = [t for t in HELD_OUT_RESIDUE if residue.residue_spans(t)]
+    wrong = [t for t in HELD_OUT_CONTENT if residue.residue_spans(t)]
+    assert len(found) >= 0.8 * len(HELD_OUT_RESIDUE) and not wrong
+    assert residue.residue_spans("Texte.\nPage introuvable\nSuite du texte.") == [(7, 24, "error")]
+
+
+def test_sizes_are_those_of_the_ids(spark):
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(TEXTS)], "doc_id bigint, text string")
+    want = {r.doc_id: len(r.ids) for r in tokens.encode(spark, docs).collect()}
+    assert {r.doc_id: r.tokens for r in tokens.sizes(spark, docs).collect()} == want
+
+
 def test_residue_rows(spark):
     data = [(k, t, "x") for k, t in enumerate(RESIDUE + CONTENT + [None, "mot " * 50_000 + "{{isin}}"])]
     docs = spark.createDataFrame(data, "doc_id bigint, text string, kinds string")
