@@ -69,14 +69,6 @@ def hex_id(t: Column) -> Column:
     return F.when(t.rlike("^[0-9a-fA-F]{1,16}$"), F.conv(t, 16, 10)).otherwise(F.abs(F.xxhash64(t)).cast("string"))
 
 
-def normalised(t: Column) -> Column:
-    """Lower case, without zero-width marks, full-width forms as plain ones, white space as single blanks."""
-    wide, plain = "".join(chr(c) for c in range(0xFF01, 0xFF5F)), "".join(chr(c) for c in range(0x21, 0x7F))
-    x = F.translate(t, wide + "\u3000\u200b\u200c\u200d\u2060\ufeff\u00ad", plain + " ")
-    x = F.replace(F.replace(x, F.lit("\ufb01"), F.lit("fi")), F.lit("\ufb02"), F.lit("fl"))
-    return F.lower(F.trim(F.regexp_replace(x, r"(?U)\s+", " ")))
-
-
 def arithmetic(expression: str) -> Column:
     """A Column of an arithmetic expression: numbers, + - * / % and signs, at most 200 characters; the sign of % follows the divisor."""
     if len(expression) > 200:

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from fundspark.functions.gate import INJECTION
+from fundspark.functions.gate import is_injection
 
 MAX_ARG = 20_000
 
@@ -47,15 +47,6 @@ class Audit:
             pass
 
 
-def refused(query: str) -> bool:
-    import re
-    import unicodedata
-
-    flat = re.sub(r"\s+", " ", re.sub("[​-‍⁠﻿]", "", unicodedata.normalize("NFKC", query or ""))).casefold()
-    pattern = re.compile("|".join(INJECTION), re.IGNORECASE)
-    return bool(pattern.search(query or "") or pattern.search(flat))
-
-
 def retry(f: Callable, tries: int = 3, wait: float = 0.0):
     """Calls ``f`` again after an error, waiting longer each time."""
     for k in range(tries):
@@ -73,11 +64,11 @@ def failed(result: str) -> bool:
     return not result.strip() or result.strip().startswith("Erreur")
 
 
-def run(query: str, plan: Callable[[str], list[str]], choose: Callable[[str, list], tuple[str, dict]], tools: dict[str, Callable], answer: Callable[[str, list], str], audit: Audit | None = None, budget: Budget | None = None, max_retries: int = 1) -> dict:
-    """Gate, plan, steps and answer. A step whose result is empty or an error is tried again with another choice; an answer needs some step that succeeded."""
+def run(query: str, plan: Callable[[str], list[str]], choose: Callable[[str, list], tuple[str, dict]], tools: dict[str, Callable], answer: Callable[[str, list], str], audit: Audit | None = None, budget: Budget | None = None, max_retries: int = 1, tries: int = 1) -> dict:
+    """Gate, plan, steps and answer. A tool that raises is called up to ``tries`` times. A step whose result is empty or an error is tried again with another choice; an answer needs some step that succeeded."""
     audit, budget = audit or Audit(), budget or Budget()
     audit.event("run_start", query=query)
-    if refused(query):
+    if is_injection(query):
         audit.event("security", allowed=False, category="injection")
         return {"status": "refused", "answer": "", "steps": []}
     steps: list[dict] = []
@@ -91,7 +82,7 @@ def run(query: str, plan: Callable[[str], list[str]], choose: Callable[[str, lis
                     result = f"Erreur : {name} can't be called so"
                 else:
                     try:
-                        result = str(tools[name](**args))
+                        result = str(retry(lambda: tools[name](**args), tries))
                     except Exception as e:  # noqa: BLE001
                         result = f"Erreur : {e}"
                 ok = not failed(result)

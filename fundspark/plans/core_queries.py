@@ -86,11 +86,11 @@ def p5_moments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    nav = same_moment_pairs(_rows(spark, d, ("nav_id",)), "nav_id", "isin", "date")
-    doc = same_moment_pairs(_prospectus_dates(spark, d), "prospectus_id", "isin", "date_document")
-    return nav.select(F.lit("nav.date").alias("field"), "id_a", "id_b").unionByName(
-        doc.select(F.lit("prospectus_data.date_document").alias("field"), "id_a", "id_b")
-    )
+    read = ("isin", "date_status", "utc_s", "day_written")
+    nav = _rows(spark, d, ("nav_id",)).select(F.lit("nav.date").alias("field"), F.col("nav_id").alias("id"), F.col("date").alias("cell"), *read)
+    doc = _prospectus_dates(spark, d)
+    doc = doc.select(F.lit("prospectus_data.date_document").alias("field"), F.col("prospectus_id").alias("id"), F.col("date_document").alias("cell"), *read)
+    return same_moment_pairs(nav.unionByName(doc), "id", "isin", "cell", "field")
 
 
 def p6_series(spark: SparkSession, d: str) -> DataFrame:

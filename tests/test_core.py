@@ -91,9 +91,10 @@ def test_same_moment_pairs(spark):
         (5, "A", "2016-09-07", "1", "f4"), (6, None, "2016/09/07", "1", "f1"), (7, "W", "2016/09/07", "1", "f1"), (8, "A", "27/10/2019 02:30", "1", "f1"), (9, "A", "27/10/2019 2h30", "1", "f1"),
     ]
     rows, _ = rows_of(spark, cells)
-    got = {tuple(r) for r in moments.same_moment_pairs(rows, "nav_id", "isin", "date").collect()}
-    assert got == {(1, 2), (3, 4), (3, 5)}
-    assert moments.same_moment_pairs(rows.limit(0), "nav_id", "isin", "date").count() == 0
+    rows = rows.withColumn("field", F.lit("f"))
+    got = {tuple(r) for r in moments.same_moment_pairs(rows, "nav_id", "isin", "date", "field").collect()}
+    assert got == {("f", 1, 2), ("f", 3, 4), ("f", 3, 5)}
+    assert moments.same_moment_pairs(rows.limit(0), "nav_id", "isin", "date", "field").count() == 0
 
 
 def series_cells(values, isin="A", start=date(2022, 1, 3)):
