@@ -36,7 +36,7 @@ MIN_RUN = 6
 #: A value so many times the level on either side, or so many times beyond the quartiles of its source (or so many times below), can't be a price.
 IMPOSSIBLE_RATIO = 50.0
 #: Distinct reading times of one source that go into one task; a larger source is cut into stretches of time, which changes no verdict.
-SEGMENT_ROWS = 50_000
+SEGMENT_ROWS = 500_000
 #: Remainders are compared with so many binary digits, so that the counts of a source by value stay small whatever its size.
 DIGITS = 12
 
