@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 WORD = r"[\p{L}\p{M}\p{N}_]+"
 
 
+def stripped(t: Column) -> Column:
+    """Without blanks of any kind at the ends."""
+    return F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
+
+
 def to_decimal(t: Column) -> Column:
     """A rate: '2%', '2', '0.02', '2,5 %' -> fraction; a magnitude of 1 or more is a percentage; words and blanks give null."""
-    s = F.replace(F.trim(t), F.lit(","), F.lit("."))
+    s = F.replace(stripped(t), F.lit(","), F.lit("."))
     pct = F.endswith(s, F.lit("%"))
-    v = F.when(pct, F.trim(F.rtrim(s, F.lit("%"))).try_cast("double")).otherwise(s.try_cast("double"))
+    v = F.when(pct, stripped(F.rtrim(s, F.lit("%"))).try_cast("double")).otherwise(s.try_cast("double"))
     return F.when(pct | (F.abs(v) >= 1), v / 100).otherwise(v)
 
 
@@ -27,7 +32,7 @@ def to_amount(t: Column) -> Column:
 
 
 def parse_day(t: Column) -> Column:
-    return F.coalesce(F.try_to_date(F.trim(t), "d/M/yyyy"), F.try_to_date(F.trim(t), "yyyy-M-d"))
+    return F.coalesce(F.try_to_date(stripped(t), "d/M/yyyy"), F.try_to_date(stripped(t), "yyyy-M-d"))
 
 
 def first_percent(t: Column) -> Column:
@@ -69,6 +74,30 @@ def hex_id(t: Column) -> Column:
     return F.when(t.rlike("^[0-9a-fA-F]{1,16}$"), F.conv(t, 16, 10)).otherwise(F.abs(F.xxhash64(t)).cast("string"))
 
 
+_ACCENTED = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿÀÂÄÁÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝ"
+_PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+
+
+def plain_lower(t: Column) -> Column:
+    """Lower case without accents, combining ones too."""
+    return F.lower(F.translate(F.regexp_replace(t, r"\p{Mn}", ""), _ACCENTED, _PLAIN))
+
+
+def all_matches(t: Column, patterns: tuple[str, ...]) -> Column:
+    """First groups of every match of all patterns, pattern by pattern."""
+    return F.flatten(F.array(*[F.regexp_extract_all(t, F.lit(p), F.lit(1)) for p in patterns]))
+
+
+def signed_percent(x: Column, decimals: int = 2) -> Column:
+    """0.0512 as +5.12%."""
+    return F.format_string(f"%+.{decimals}f%%", x * 100)
+
+
+def spaced(x: Column, decimals: int = 0) -> Column:
+    """A number with blanks between thousands."""
+    return F.translate(F.format_number(x, decimals), ",", " ")
+
+
 def arithmetic(expression: str) -> Column:
     """A Column of an arithmetic expression: numbers, + - * / % and signs, at most 200 characters; the sign of % follows the divisor."""
     if len(expression) > 200:

@@ -58,6 +58,7 @@ def sections(pages: DataFrame) -> DataFrame:
     return g.select("source_file", F.col("section_index").cast("int").alias("section_index"), title.alias("title"), text.alias("text"), "start_page", "end_page")
 
 
-def parent_chunks(secs: DataFrame) -> DataFrame:
-    """One parent a section, its text cut at the usual bound, with a deterministic id."""
-    return secs.select(chunk_id(F.col("source_file"), "p", F.col("section_index")).alias("id"), "source_file", "section_index", F.substring("text", 1, PARENT_MAX).alias("text"))
+def parent_chunks(secs: DataFrame, most: int | None = None) -> DataFrame:
+    """(id, source_file, section_index, text): one parent a section with a deterministic id, its whole text; with ``most`` (PARENT_MAX is the usual bound) cut there."""
+    text = F.col("text") if most is None else F.substring("text", 1, most)
+    return secs.select(chunk_id(F.col("source_file"), "p", F.col("section_index")).alias("id"), "source_file", "section_index", text.alias("text"))

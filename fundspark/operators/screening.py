@@ -65,24 +65,51 @@ def F_split(query: str) -> list[str]:
     return re.split(r"[\s\-/]+", query.lower().strip())
 
 
+# Label and column of a sheet's lines, in order; the costs, which come out whole or not at all.
+LINES = (("nom", "name"), ("isin", "isin"), ("devise", "currency"), ("type de part", "share_type"), ("vl", "nav"), ("date vl", "nav_date"), ("encours", "aum"), ("date encours", "aum_date"), ("sfdr", "sfdr"), ("sri", "risk_sri"), ("indice", "benchmark"))
+COST_LINES = (("frais entree", "entry_pct"), ("frais sortie", "exit_pct"), ("frais courants", "ongoing_pct"), ("frais transaction", "transaction_pct"), ("frais performance", "performance_pct"))
+
+
 def summary_lines(sheets: DataFrame, wanted: tuple[str, ...] = ()) -> DataFrame:
-    """(isin, ord, label, value) of the sheet's fields and costs, nulls dropped, filtered by label words; one cost word keeps the whole cost block."""
-    fields = [("nom", "name"), ("isin", "isin"), ("devise", "currency"), ("vl", "nav"), ("date vl", "nav_date"), ("encours", "aum"), ("sfdr", "sfdr"), ("sri", "risk_sri"), ("indice", "benchmark")]
-    costs = [("frais entree", "entry_pct"), ("frais sortie", "exit_pct"), ("frais courants", "ongoing_pct"), ("frais transaction", "transaction_pct"), ("frais performance", "performance_pct")]
-    lines = [F.struct(F.lit(k).alias("ord"), F.lit(label).alias("label"), F.col(c).cast("string").alias("value"), F.lit(False).alias("cost")) for k, (label, c) in enumerate(fields)]
-    lines += [
-        F.struct(F.lit(20 + k).alias("ord"), F.lit(label).alias("label"), F.col(f"costs.{c}").cast("string").alias("value"), F.lit(True).alias("cost"))
-        for k, (label, c) in enumerate(costs)
-    ]
-    x = sheets.select(F.col("isin").alias("key"), F.explode(F.array(*lines)).alias("l")).select(F.col("key").alias("isin"), "l.*").where(F.col("value").isNotNull())
+    """(isin, ord, label, value) of the lines of a fund's sheet: fields, characteristics, performances of the year (entries of the allocation whose label tells of one), the rest of the allocation, costs.
+
+    Nulls are dropped, of equal lines the first stays. ``wanted`` filters by words of the labels; one word of a cost keeps the whole block of costs.
+    """
+    line = lambda ord, label, value, cost=False: F.struct(F.lit(ord).cast("int").alias("ord"), label.alias("label"), value.cast("string").alias("value"), F.lit(cost).alias("cost"))
+    parts = [F.array(*[line(k, F.lit(label), F.col(c)) for k, (label, c) in enumerate(LINES)])]
+    if "characteristics" in sheets.columns:
+        entries = F.array_sort(F.map_entries("characteristics"))
+        parts.append(F.coalesce(F.transform(entries, lambda e: line(100, F.lower(e["key"]), e["value"])), F.expr("array()")))
+    if "asset_allocation" in sheets.columns:
+        gain = lambda e: F.contains(F.lower(F.coalesce(e["label"], F.lit(""))), F.lit("perf"))
+        parts.append(F.coalesce(F.transform(F.filter("asset_allocation", gain), lambda e: line(200, F.lower(e["label"]), e["pct"])), F.expr("array()")))
+        parts.append(F.coalesce(F.transform(F.filter("asset_allocation", lambda e: ~gain(e)), lambda e: line(300, F.lower(e["label"]), e["pct"])), F.expr("array()")))
+    parts.append(F.array(*[line(400 + k, F.lit(label), F.col(f"costs.{c}"), True) for k, (label, c) in enumerate(COST_LINES)]))
+    x = sheets.select(F.col("isin").alias("key"), F.explode(F.array_distinct(F.concat(*parts))).alias("l")).select(F.col("key").alias("isin"), "l.*").where(F.col("value").isNotNull() & F.col("label").isNotNull())
     low = [w.lower() for w in wanted if w]
     if low:
-        touches_costs = any(w in label for w in low for label, _ in costs)
+        touches_costs = any(w in label for w in low for label, _ in COST_LINES)
         fits = F.exists(F.array(*[F.lit(w) for w in low]), lambda w: F.contains(F.col("label"), w))
         x = x.where(F.when(F.col("cost"), F.lit(touches_costs)).otherwise(fits))
     return x.drop("cost")
 
 
+def profile(sheets: DataFrame, stats: DataFrame, screened: DataFrame) -> DataFrame:
+    """Screened funds (rank, fund_id, value) with what tells them apart: name, asset class, SFDR, SRI, assets, and their return, volatility and drawdown where known."""
+    x = screened.join(sheets.select("fund_id", "name", "asset_class", "sfdr", F.col("sri").cast("string").alias("sri"), "aum"), "fund_id")
+    return x.join(stats.select("fund_id", "ann_return", "ann_vol", "max_drawdown"), "fund_id", "left")
+
+
+def resolve_fund(sheets: DataFrame, asked: str) -> tuple[str, list[str]]:
+    """(isin, []) of a fund asked for by isin or by words of its name, or ('', candidates) where several names fit as well, or none."""
+    rows = find_fund(sheets, asked).collect()  # at most eight
+    if not rows:
+        return "", []
+    if len(rows) == 1 or rows[0].isin.upper() == asked.strip().upper():
+        return rows[0].isin, []
+    return "", [f"{r.isin} {r.name}" for r in rows]
+
+
 def fees_projection(amount: float, pct: Column, years: int) -> Column:
     """What is lost to a yearly fee of ``pct`` percent."""
     return F.lit(amount) - F.lit(amount) * F.pow(1 - pct / 100, F.lit(float(years)))

@@ -22,13 +22,14 @@ def rolling_sharpe_points(nav: DataFrame, window: int = 252, rf: float = 0.0) ->
 
 
 def rolling_sharpe(nav: DataFrame, window: int = 252, rf: float = 0.0) -> DataFrame:
-    """Summary of the windows; status ``insufficient`` with fewer than two, ``zero_vol`` where one has no variation (as it fails the whole call)."""
+    """Summary of the windows, a row for every fund; status ``insufficient`` with fewer than two windows (none at all included), ``zero_vol`` where one has no variation (as it fails the whole call)."""
     points = rolling_sharpe_points(nav, window, rf)
     s = F.col("rolling_sharpe")
     x = points.groupBy("fund_id").agg(
         F.count(F.lit(1)).alias("windows"), F.min(s).alias("lo"), F.max(s).alias("hi"), F.avg(s).alias("mean"), F.stddev_pop(s).alias("sd"),
         F.max_by(s, "dt").alias("last"), F.max(s.isNull()).alias("flat"),
     )
+    x = nav.select("fund_id").distinct().join(x, "fund_id", "left").withColumn("windows", F.coalesce("windows", F.lit(0)))
     status = F.when(F.col("windows") < 2, "insufficient").when(F.col("flat"), "zero_vol").otherwise("ok")
     ok = status == "ok"
     return x.select("fund_id", "windows", *[F.when(ok, F.col(c)).alias(c) for c in ("lo", "hi", "mean", "sd", "last")], status.alias("status"))
@@ -132,10 +133,10 @@ def head_tail(nav: DataFrame, k: int = 5) -> DataFrame:
 
 
 def correlations(nav: DataFrame, min_common: int = 30) -> DataFrame:
-    """Correlation of each pair of funds, over returns recomputed on their common dates.
+    """Correlation of each pair of the funds in ``nav``, over returns recomputed on their common dates: for a list of funds that is asked for, not for all there are.
 
     A self-join on the date; a fund has one row a date, so a date's group is
-    bounded by the number of funds. A date is dropped when either previous NAV is 0; a constant series gives null.
+    bounded by the length of that list. A date is dropped when either previous NAV is 0; a constant series gives null.
     """
     a = nav.select("dt", F.col("fund_id").alias("fund_a"), F.col("nav").alias("x"))
     b = nav.select("dt", F.col("fund_id").alias("fund_b"), F.col("nav").alias("y"))

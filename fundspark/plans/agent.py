@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from typing import Any
 
 from fundspark.functions.gate import is_injection
 
@@ -97,3 +98,87 @@ def run(query: str, plan: Callable[[str], list[str]], choose: Callable[[str, lis
     text = answer(query, done) if done else ""
     audit.event("run_end", status=status)
     return {"status": status, "answer": text, "steps": steps}
+
+
+def select_metric(answer: dict | None, known: list[str], ask: Callable[[list[str]], str] | None = None, fallback: str = "sharpe") -> dict:
+    """The metric of a selector's answer {metric, alternatives}: itself if known and alone, else what ``ask`` picks among the candidates, else the fallback."""
+    first = str((answer or {}).get("metric") or "").strip().lower()
+    others = [str(a).strip().lower() for a in (answer or {}).get("alternatives") or []]
+    names = list(dict.fromkeys(m for m in (first, *others) if m in known))
+    if len(names) > 1 and ask:
+        picked = ask(names)
+        if picked in names:
+            return {"metric": picked, "how": "asked"}
+    return {"metric": names[0], "how": "selected"} if names else {"metric": fallback, "how": "fallback"}
+
+
+def parse_plan(text: str) -> list[str]:
+    """Steps of a model's plan: a JSON list of texts or of tables, a table that holds one, or numbered lines."""
+    import re
+
+    body = text[min((k for k in (text.find("["), text.find("{")) if k >= 0), default=len(text)) :]
+    for end in range(len(body), 0, -1) if len(body) < 20_000 else ():
+        if body[end - 1] not in "]}":
+            continue
+        try:
+            data = json.loads(body[:end])
+        except ValueError:
+            continue
+        if isinstance(data, dict):
+            data = next((v for v in data.values() if isinstance(v, list)), [])
+        steps = [s if isinstance(s, str) else next((str(v) for k, v in s.items() if k in ("step", "etape", "description", "action")), "") if isinstance(s, dict) else str(s) for s in data]
+        return [s.strip() for s in steps if s.strip()]
+    return [m.strip() for m in re.findall(r"^\s*(?:\d+[.)]|[-*])\s+(.+)$", text, re.M)]
+
+
+def ask_json(call: Callable[[], str], asks: int = 3) -> Any:
+    """Calls a model until its answer holds JSON, at most so often; ValueError if none does."""
+    for _ in range(asks):
+        text = call()
+        for at, ch in enumerate(text):
+            if ch in "[{":
+                try:
+                    return json.JSONDecoder(strict=False).raw_decode(text[at:])[0]
+                except ValueError:
+                    continue
+    raise ValueError("no JSON in the answer")
+
+
+def last_deliverable(steps: list[dict]) -> str:
+    """The last content that isn't blank among the steps' arguments."""
+    return next((c for s in reversed(steps) if (c := str((s.get("args") or {}).get("content") or "").strip())), "")
+
+
+def is_structured(step: dict) -> bool:
+    """Whether a step's result comes from data: not a search of texts nor a file written, and neither empty nor a failure."""
+    said = str(step.get("result") or "").strip()
+    return step.get("tool") not in ("rag_search", "read_file", "write_file") and bool(said) and not failed(said) and not said.lower().startswith(("impossible", "aucune fiche"))
+
+
+def synthesis(steps: list[dict]) -> tuple[str, str]:
+    """(decision, text): ``ambiguous`` with the candidates where several funds fit and nothing else was found, ``no_data`` where every search was empty and nothing structured came, ``deliverable`` with what was written, else ``memory``."""
+    structured = [s for s in steps if is_structured(s)]
+    several = [s["result"] for s in steps if "several funds fit" in str(s.get("result"))]
+    if several and not structured:
+        return "ambiguous", several[-1]
+    found = [s for s in steps if s.get("tool") == "rag_search" and s.get("ok")]
+    if not structured and not found:
+        return "no_data", ""
+    text = last_deliverable(steps)
+    return ("deliverable", text) if text else ("memory", "\n".join(str(s["result"]) for s in steps if s.get("ok")))
+
+
+#: Arms of an ablation: which parts of the agent take part.
+ARMS = {
+    "A": {"tools": False, "rag": False, "gate": False}, "B": {"tools": False, "rag": True, "gate": False}, "C": {"tools": True, "rag": False, "gate": False},
+    "D": {"tools": True, "rag": True, "gate": False}, "E": {"tools": True, "rag": True, "gate": True},
+}
+
+
+def run_arm(arm: str, query: str, plan: Callable, choose: Callable, tools: dict[str, Callable], answer: Callable, **kw: Any) -> dict:
+    """``run`` with the parts of an arm only."""
+    parts = ARMS[arm]
+    kept = {n: f for n, f in tools.items() if (parts["rag"] if n == "rag_search" else parts["tools"])}
+    if parts["gate"] or not is_injection(query):
+        return run(query, plan if kept else (lambda q: []), choose, kept, answer, **kw)
+    return run("", lambda q: plan(query) if kept else [], choose, kept, lambda q, done: answer(query, done), **kw)

@@ -11,6 +11,7 @@ from fundspark.functions import gate, scalars
 from fundspark.operators import retrieval, screening, series, timeseries
 from fundspark.operators.readings import nav_rows, readable
 from fundspark.plans.catalog import CATALOG, Dataset, Registry
+from fundspark.session import tune
 from fundspark.sources.tables import table
 
 
@@ -27,11 +28,20 @@ class Tools:
     @property
     def panel(self) -> DataFrame:
         t = lambda n: table(self.spark, self.data, n)
+        tune(self.spark)
         x = readable(nav_rows(self.spark, t("nav"), t("nav_feed"), t("fund_sheet"), ("nav_id", "received_at")))
         return x.where("isin is not null").groupBy(F.col("isin").alias("fund_id"), F.col("day").alias("dt")).agg(F.max_by("value", F.struct("at_s", "received_at", "nav_id")).alias("nav"))
 
+    def isin_of(self, fund: str) -> str:
+        """The isin of a fund asked for by isin or name; ValueError where no name fits, or several do."""
+        isin, others = screening.resolve_fund(table(self.spark, self.data, "fund_sheet"), fund)
+        if not isin:
+            raise ValueError(f"Erreur : several funds fit {fund!r}: " + "; ".join(others) if others else f"Erreur : no fund fits {fund!r}")
+        return isin
+
     def _of(self, *funds: str) -> DataFrame:
-        return self.panel.where(F.col("fund_id").isin(*funds))
+        """The panel of funds asked for by isin or name."""
+        return self.panel.where(F.col("fund_id").isin(*[self.isin_of(f) for f in funds]))
 
     def _sheets(self) -> DataFrame:
         x = table(self.spark, self.data, "fund_sheet")
@@ -59,16 +69,23 @@ class Tools:
     def find_fund(self, name: str) -> DataFrame:
         return screening.find_fund(table(self.spark, self.data, "fund_sheet"), name)
 
-    def invested_value(self, fund: str, amount: float, period: str = "3y") -> DataFrame:
+    def invested_value(self, fund: str, amount: float | str, period: str = "3y") -> DataFrame:
+        """``amount`` may be text such as 10 000 €."""
+        if isinstance(amount, str):
+            amount = self.spark.range(1).select(scalars.to_amount(F.lit(amount)).alias("x")).first().x
+            if amount is None:
+                raise ValueError("Erreur : no amount")
         x = timeseries.period_performance(self._of(fund), (period,))
         return x.withColumn("value", amount * (1 + F.col("cumulative"))).withColumn("gain", F.col("value") - amount)
 
     def compare_funds(self, funds: list[str], rf: float = 0.02) -> DataFrame:
         if len(funds) < 2:
             raise ValueError("Erreur : at least two funds")
-        asked = self.spark.createDataFrame([(f,) for f in funds], "fund_id string")
-        x = series.stats(self._of(*funds), rf).select("fund_id", "ann_return", "ann_vol", "max_drawdown", "sharpe", "sortino")
-        return asked.join(x, "fund_id", "left").withColumn("status", F.when(F.col("ann_return").isNull(), "unavailable").otherwise("ok"))
+        found = {f: screening.resolve_fund(table(self.spark, self.data, "fund_sheet"), f)[0] or f for f in funds}  # one that isn't found is a row too
+        asked = self.spark.createDataFrame([(f, i) for f, i in found.items()], "asked string, fund_id string")
+        x = series.stats(self.panel.where(F.col("fund_id").isin(*found.values())), rf).select("fund_id", "ann_return", "ann_vol", "max_drawdown", "sharpe", "sortino", "anomalous")
+        x = asked.join(x, "fund_id", "left").join(self._sheets().select("fund_id", "name", "sfdr", "sri"), "fund_id", "left")
+        return x.withColumn("status", F.when(F.col("ann_return").isNull(), "unavailable").otherwise("ok"))
 
     def fund_calendar(self, fund: str) -> DataFrame:
         return timeseries.calendar_returns(self._of(fund))
@@ -89,6 +106,8 @@ class Tools:
         return timeseries.rolling_sharpe(self._of(fund), window, rf)
 
     def funds_correlation(self, funds: list[str]) -> DataFrame:
+        if len(funds) < 2:
+            raise ValueError("Erreur : at least two funds")
         return timeseries.correlations(self._of(*funds))
 
     def fund_tail_risk(self, fund: str) -> DataFrame:
@@ -99,20 +118,25 @@ class Tools:
         return timeseries.nav_audit(x), timeseries.head_tail(x, sample)
 
     def fees_projection(self, fund: str, amount: float, years: int) -> DataFrame:
-        x = table(self.spark, self.data, "fund_sheet").where(F.col("isin") == fund)
+        x = table(self.spark, self.data, "fund_sheet").where(F.col("isin") == self.isin_of(fund))
         return x.select("isin", screening.fees_projection(float(amount), F.col("costs.ongoing_pct"), years).alias("cost"))
 
     def fund_summary(self, isin: str, fields: tuple[str, ...] = ()) -> DataFrame:
-        return screening.summary_lines(table(self.spark, self.data, "fund_sheet").where(F.col("isin") == isin), fields)
+        return screening.summary_lines(table(self.spark, self.data, "fund_sheet").where(F.col("isin") == self.isin_of(isin)), fields)
 
     def fund_stats(self, isin: str, rf: float = 0.02) -> DataFrame:
-        return series.stats(self._of(isin), rf)
+        """With a ``warning`` where a single return is out of proportion."""
+        x = series.stats(self._of(isin), rf)
+        return x.withColumn("warning", F.when(F.col("anomalous"), "a return above 50 % in one step: check the NAVs"))
 
     def fund_performance(self, isin: str, periods: tuple[str, ...] = ("ytd", "1y", "3y", "5y")) -> DataFrame:
         return timeseries.period_performance(self._of(isin), periods)
 
     def screen_funds(self, sort_by: str, top: int = 5, asset_class: str = "", sfdr: str = "", sri: str = "", rf: float = 0.02) -> DataFrame:
-        return screening.screen(self._sheets(), series.stats(self.panel, rf), sort_by, top, asset_class=asset_class, sfdr=sfdr, sri=sri)
+        """The best funds by a criterion, each with its profile."""
+        sheets, stats = self._sheets(), series.stats(self.panel, rf)
+        best = screening.screen(sheets, stats, sort_by, top, asset_class=asset_class, sfdr=sfdr, sri=sri)
+        return screening.profile(sheets, stats, best)
 
     def metric(self, key: str, isin: str = "", returns: list[float] | None = None, values: dict[str, float] | None = None, rf: float = 0.0) -> DataFrame:
         """A catalogue metric from returns if given (magnitudes of 1 or more are percentages), else from the fund's NAVs, else from figures; two metrics are only explained."""

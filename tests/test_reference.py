@@ -68,6 +68,8 @@ def test_rolling_status(spark):
     got = [one(timeseries.rolling_sharpe(nav(spark, [100 + (k % 3) for k in range(n)]), 5)).status for n in (21, 22)]
     assert got == ["insufficient", "ok"]
     assert one(timeseries.rolling_sharpe(nav(spark, [100] * 40), 20)).status == "zero_vol"
+    few = one(timeseries.rolling_sharpe(nav(spark, range(100, 110)), 252))
+    assert (few.status, few.windows, few.last) == ("insufficient", 0, None)
 
 
 def test_correlation_needs_common_dates(spark):
@@ -145,10 +147,15 @@ def test_stream(spark, tmp_path):
     src.repartition(2).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(src.schema).parquet(str(tmp_path / "in"))
     audit.upsert_batches(stream, str(tmp_path / "out"), "event_id", str(tmp_path / "ck")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == src.count()
+    assert audit.current(spark, str(tmp_path / "out")).count() == src.count()
+    changed = src.limit(5).withColumn("value", F.lit(-1.0))
+    changed.write.mode("append").parquet(str(tmp_path / "in"))
+    audit.upsert_batches(stream, str(tmp_path / "out"), "event_id", str(tmp_path / "ck")).awaitTermination()
+    got = audit.current(spark, str(tmp_path / "out"))
+    assert got.count() == src.count() and got.where("value = -1").count() == 5
     q = audit.windowed_counts(stream).writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
-    assert spark.sql("select sum(n) from w").collect()[0][0] == src.count()
+    assert spark.sql("select sum(n) from w").collect()[0][0] == src.count() + 5
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
@@ -234,6 +241,10 @@ def test_tools(spark, tmp_path):
     assert t.metric("sharpe", returns=[0.01, -0.02, 0.03]).first().status == "ok" and t.metric("starr", isin=fund).first().status == "ok"
     assert t.metric("sharpe", values={"R": 0.08, "sigma": 0.1}, rf=0.02).first().value == pytest.approx(0.6) and t.metric("rdt_max_cvar").first().status == "explained"
     assert {r.status for r in t.compare_funds([fund, "none"]).collect()} == {"ok", "unavailable"}
+    named = spark.read.parquet(f"{DATA}/fund_sheet.parquet").where("name is not null").first()
+    with pytest.raises(ValueError):
+        t.isin_of("no such fund zzz")
+    assert t.isin_of(named.isin.lower()) == named.isin and t.fund_summary(named.isin).count() > 8
     assert t.count_funds().first().n > 0 and t.count_funds("pages").first().n > 0 and t.list_documents().count() > 1
     assert t.rag_search("frais courants du fonds").count() == 3 and t.fund_summary(fund, ("sfdr",)).count() <= 1
     t.write_file("a/b.txt", "é")
@@ -305,3 +316,126 @@ def test_child_chunks_follow_each_section_s_configuration(spark):
     got = child_chunks(secs, configs).orderBy("section_index", "child_index").collect()
     for i, c in enumerate(codes):
         assert [r.text for r in got if r.section_index == i] == split_text(text, *sizes.get(c, sizes["defaut"]))
+
+
+def test_dense_blocks_and_stacks(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v = np.round(rng.normal(size=(300, 8)), 3)
+    v[7], v[9], v[20] = 0, v[8], v[8]  # a zero vector, and equal ones
+    vec = spark.createDataFrame([(k, [float(x) for x in r]) for k, r in enumerate(v)] + [(999, None)], "id bigint, v array<double>")
+    ask = vec.where("id % 10 = 8").select(F.col("id").alias("query_id"), "v")
+    want = {}
+    n = v / np.where(np.linalg.norm(v, axis=1, keepdims=True) > 0, np.linalg.norm(v, axis=1, keepdims=True), 1)
+    for q in range(8, 300, 10):
+        s = np.round(n[q] @ n.T, 9)
+        want[q] = sorted(range(300), key=lambda k: (-s[k], k))[:5]
+    for size in (65_536, 40):
+        monkeypatch.setattr(retrieval, "VECTOR_BLOCK", size)
+        monkeypatch.setattr(retrieval, "QUERY_BLOCK", size)
+        got = {}
+        for r in retrieval.dense(vec, ask, 5).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.id)
+        assert got == want
+    assert retrieval.dense(vec.limit(0), ask, 5).count() == 0 and retrieval.dense(vec, ask.limit(0), 5).count() == 0
+    x = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<double>").select(retrieval.l2_normalised(F.col("v")).alias("v"))
+    assert [r.v for r in x.collect()] == [[0.6, 0.8], [0.0, 0.0]]
+    docs = spark.createDataFrame([(1, "frais courants du fonds"), (2, "indicateur de risque"), (3, None), (4, "")], "id bigint, text string")
+    asks = spark.createDataFrame([(10, "quels frais courants"), (11, None)], "query_id bigint, text string")
+    for kind in ("bm25", "dense", "hybrid"):
+        assert retrieval.stack(docs, asks, kind, 2, reranked=kind == "hybrid").where("query_id = 10 and rank = 1").first().id == 1
+    kids = docs.select("id", F.lit("P").alias("parent_id"))
+    assert one(retrieval.stack(docs, asks.where("query_id = 10"), "dense", 2, parents_of=kids)).id == "P"
+    length = lambda texts: [[float(len(t)), 1.0] for t in texts]
+    assert retrieval.embed(docs, length).count() == 4
+    order = retrieval.service_order(spark.createDataFrame([(1, 1, "a", 0.9), (1, 2, "b", 0.8)], "query_id int, rank int, id string, score double"), spark.createDataFrame([(1, [1, 7, 0])], "query_id int, index array<int>"))
+    assert [r.id for r in order.orderBy("rank").collect()] == ["b", "a"]
+
+
+def test_loop_answers_rewrites_and_falls_back(spark):
+    from fundspark.plans import loop
+
+    docs = spark.createDataFrame([(1, "Les frais courants sont de 1,2 %."), (2, "Le risque est mesuré sur sept.")], "id bigint, text string")
+    asks = spark.createDataFrame([(1, "frais courants"), (2, "hors sujet"), (3, "cout annuel")], "query_id bigint, text string")
+    retrieve = lambda q: retrieval.stack(docs, q, "dense", 2)
+    better = lambda q: F.when(q == "cout annuel", F.lit('\n "frais courants annuels" ')).otherwise(q)
+    unsure = lambda q, t: F.when(q.isin("cout annuel"), F.lit('{"label": "ambiguous"}')).otherwise(loop.judge_by_words(q, t))
+    got = {r.query_id: r for r in loop.corrective(asks, retrieve, docs, unsure, better).collect()}
+    assert (got[1].route, got[1].citations, got[1].grounded, got[1].iterations) == ("answered", ["1"], True, 1)
+    assert got[2].route == "fallback" and got[2].grounded and (got[3].route, got[3].iterations) == ("answered", 2)
+    plain = {r.query_id: r for r in loop.simple(asks, retrieve, docs).collect()}
+    assert len(plain) == 3 and plain[1].citations == []
+
+
+def test_ingestion_is_repeatable_and_isolates_files(spark, tmp_path):
+    from fundspark.plans import ingest
+
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.TXT").write_text("1. Frais\nLes frais cou-\nrants.\f2. Risque\nSept.")
+    (src / "b.txt").write_bytes(b"\xff\xfe bad")
+    totals = [one(ingest.ingest(spark, str(src), str(tmp_path / "t"))) for _ in range(2)]
+    assert all((t.files, t.failed, t.parents, t.children) == (2, 1, 2, 2) for t in totals)
+    assert ingest.latest(spark, str(tmp_path / "t"), "vectors").count() == 2
+    assert "frais courants" in ingest.latest(spark, str(tmp_path / "t"), "parents").orderBy("section_index").first().text
+    (src / "a.TXT").write_text("1. Seul\nreste.")
+    assert one(ingest.ingest(spark, str(src), str(tmp_path / "t"))).parents == 1
+
+
+def test_percentiles_and_scores_against_brute_force(spark):
+    import math
+    import random
+
+    random.seed(1)
+    data = [("hot", random.choice([1.0, 2.5, 7.0, random.random() * 50])) for _ in range(500)] + [("cold", float(k)) for k in range(7)] + [("one", 3.0), ("one", None)]
+    got = {r.k: r for r in evaluate.percentiles(spark.createDataFrame(data, "k string, v double"), "k", "v", (0.5, 0.95)).collect()}
+    for k in ("hot", "cold", "one"):
+        own = sorted(v for n, v in data if n == k and v is not None)
+        assert (got[k].n, got[k].p50, got[k].p95, got[k].largest) == (len(own), own[max(0, math.floor(len(own) * 0.5) - 1)], own[max(0, math.floor(len(own) * 0.95) - 1)], own[-1])
+        assert got[k].mean == pytest.approx(sum(own) / len(own))
+    assert evaluate.percentiles(spark.createDataFrame([], "k string, v double"), "k", "v").count() == 0
+    checks = spark.createDataFrame([("g1", "num", "A", "sharpe", None), ("g2", "text", None, None, "Risque élevé"), ("g3", "refuse", None, None, None), ("g4", "num", "A", "none", None), ("g5", "num", "A", "sharpe", None)], "id string, kind string, fund_id string, metric string, text string")
+    answers = spark.createDataFrame([("g1", "Le ratio est de 12,5 %"), ("g2", "un RISQUE ELEVE"), ("g3", "Je ne sais pas."), ("g4", "3,2")], "id string, answer string")
+    truth = spark.createDataFrame([("A", "sharpe", 0.125)], "fund_id string, metric string, value double")
+    assert {r.id: r.verdict for r in evaluate.score_answers(checks, answers, truth).collect()} == {"g1": "right", "g2": "right", "g3": "right", "g4": "no_truth", "g5": "missing"}
+    cov = one(evaluate.tool_coverage(spark.createDataFrame([(["b", "a"],), (["b"],)], "tools array<string>"), ["a", "b", "c"]))
+    assert (cov.used, cov.missing, cov.all_used) == (["a", "b"], ["c"], False)
+    cited = spark.createDataFrame([(1, ["x", "x", "z"]), (3, ["x"])], "query_id int, cited array<string>")
+    wanted = spark.createDataFrame([(1, ["x", "y"], False), (2, [], False), (3, ["x"], True)], "query_id int, expected array<string>, out_of_domain boolean")
+    m = {r.query_id: (round(r.precision, 3), r.recall) for r in evaluate.citation_metrics(cited, wanted).collect()}
+    assert m == {1: (0.667, 0.5), 2: (1.0, 1.0), 3: (0.0, 0.0)}
+
+
+def test_settings_and_golden(spark, tmp_path):
+    import json
+
+    from fundspark.plans import config
+
+    (tmp_path / "s.json").write_text('{"store": {"path": "x", "k": 1}}')
+    got = config.settings({"store": {"path": "d", "top": 3}}, (str(tmp_path / "s.json"), "absent.json"), env={"FUNDSPARK_STORE__K": "7", "OTHER": "1"})
+    assert got == {"store": {"path": "x", "top": 3, "k": 7}}
+    (tmp_path / "g.json").write_text(json.dumps([{"id": "g1", "question": "q"}, {"id": "h2", "question": "r", "tags": ["t"]}]))
+    g = config.golden(spark, str(tmp_path / "g.json"))
+    assert [r.id for r in evaluate.golden_subset(g, "h").collect()] == ["h2"] and evaluate.golden_subset(g, "1").count() == 1 and evaluate.golden_subset(g).count() == 2
+    (tmp_path / "bad.json").write_text('[{"id": "g1", "question": "q"}, {"id": "g1", "question": "r"}]')
+    with pytest.raises(ValueError):
+        config.golden(spark, str(tmp_path / "bad.json"))
+
+
+def test_agent_decisions():
+    from fundspark.plans import agent
+
+    assert agent.select_metric({"metric": "Sharpe", "alternatives": ["sortino"]}, ["sharpe", "sortino"], lambda names: names[1])["metric"] == "sortino"
+    assert agent.select_metric({"metric": "x"}, ["sharpe"])["how"] == "fallback"
+    assert agent.parse_plan('Voici : {"plan": [{"step": "a"}, "b"]} fin') == ["a", "b"] and agent.parse_plan("1. un\n2) deux") == ["un", "deux"]
+    says = iter(["rien", 'ok {"a": 1} x'])
+    assert agent.ask_json(lambda: next(says)) == {"a": 1}
+    rag = {"tool": "rag_search", "result": "", "ok": False}
+    assert agent.synthesis([rag])[0] == "no_data" and agent.synthesis([rag, {"tool": "fund_stats", "result": "Erreur : several funds fit 'x': A", "ok": False}])[0] == "ambiguous"
+    assert agent.synthesis([{"tool": "fund_stats", "result": "1", "ok": True, "args": {"content": " rapport "}}]) == ("deliverable", "rapport")
+    out = agent.run_arm("B", "Quel Sharpe ?", lambda q: ["a"], lambda s, m: ("fund_stats", {}), {"fund_stats": lambda: "1", "rag_search": lambda: "t"}, lambda q, m: "x")
+    assert out["status"] == "no_data"
+    calls = []
+    flaky = lambda: calls.append(1) or (_ for _ in ()).throw(OSError()) if len(calls) < 1 else "fine"
+    assert agent.run("q", lambda q: ["a"], lambda s, m: ("t", {}), {"t": flaky}, lambda q, m: "x", tries=2)["status"] == "ok"
