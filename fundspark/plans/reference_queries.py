@@ -113,7 +113,9 @@ query("rolling_sharpe_points", P + ROLL + "SELECT fund_id, CAST(dt AS VARCHAR) A
 )
 query(
     "rolling_sharpe",
-    P + ROLL + "SELECT fund_id, COUNT(*) AS windows, ROUND(MIN(s),4)+0.0 AS lo, ROUND(MAX(s),4)+0.0 AS hi, ROUND(AVG(s),4)+0.0 AS mean, ROUND(STDDEV_POP(s),4)+0.0 AS sd, ROUND(ARG_MAX(s,dt),4)+0.0 AS last, 'ok' AS status FROM rp GROUP BY 1",
+    P + ROLL + """, ag AS (SELECT fund_id, COUNT(*) AS windows, MIN(s) AS lo, MAX(s) AS hi, AVG(s) AS mean, STDDEV_POP(s) AS sd, ARG_MAX(s,dt) AS last FROM rp GROUP BY 1)
+SELECT f.fund_id, COALESCE(windows,0) AS windows, """ + ", ".join(f"CASE WHEN windows>=2 THEN ROUND({c},4)+0.0 END AS {c}" for c in ("lo", "hi", "mean", "sd", "last")) + """, CASE WHEN COALESCE(windows,0)<2 THEN 'insufficient' ELSE 'ok' END AS status
+FROM (SELECT DISTINCT fund_id FROM nav) f LEFT JOIN ag ON f.fund_id=ag.fund_id""",
 )(lambda s, d: timeseries.rolling_sharpe(panel(s, d), 252, 0.02).select("fund_id", "windows", *[(F.round(c, 4) + 0.0).alias(c) for c in ("lo", "hi", "mean", "sd", "last")], "status"))
 
 
