@@ -243,7 +243,7 @@ def test_tools(spark, tmp_path):
     assert {r.status for r in t.compare_funds([fund, "none"]).collect()} == {"ok", "unavailable"}
     named = spark.read.parquet(f"{DATA}/fund_sheet.parquet").where("name is not null").first()
     with pytest.raises(ValueError):
-        t.isin_of("no such fund zzz")
+        t.isin_of("zzzqqq")
     assert t.isin_of(named.isin.lower()) == named.isin and t.fund_summary(named.isin).count() > 8
     assert t.count_funds().first().n > 0 and t.count_funds("pages").first().n > 0 and t.list_documents().count() > 1
     assert t.rag_search("frais courants du fonds").count() == 3 and t.fund_summary(fund, ("sfdr",)).count() <= 1
