@@ -106,7 +106,7 @@ def p7_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    totals = p7_totals(spark, d).where((F.col("readings_7") == 0) | (F.col("readings_30") == 0))
+    totals = trailing_totals(daily_totals(_rows(spark, d)), with_totals=False).where((F.col("readings_7") == 0) | (F.col("readings_30") == 0))
     window = F.explode(F.filter(F.array(F.when(F.col("readings_7") == 0, 7), F.when(F.col("readings_30") == 0, 30)), lambda w: w.isNotNull()))
     return totals.select("nav_file", F.date_format("day", "yyyy-MM-dd").alias("day"), window.alias("window_days"))
 
