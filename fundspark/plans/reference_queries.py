@@ -436,12 +436,14 @@ def stack_metrics(s: SparkSession, d: str) -> DataFrame:
     own = isins.where("id % 50 = 0").select(F.col("id").alias("query_id"), "isin")
     counts = isins.where("isin is not null").groupBy("isin").agg(F.count(F.lit(1)).alias("n"))
     expected = own.join(counts, "isin", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("expected"))
-    out = []
-    for name, kind, again in (("bm25", "bm25", False), ("dense", "dense", False), ("hybrid", "hybrid", False), ("hybrid_reranked", "hybrid", True)):
-        hits = retrieval.stack(docs, asked, kind, 5, reranked=again).join(isins.withColumnRenamed("isin", "found"), "id").join(own, "query_id")
-        hits = hits.select("query_id", "rank", F.coalesce(F.col("found") == F.col("isin"), F.lit(False)).alias("relevant"))
-        out.append(evaluate.hit_metrics(hits, expected).withColumn("stack", F.lit(name)))
-    return evaluate.macro(reduce(DataFrame.unionByName, out), "stack")
+    stacks = (("bm25", "bm25", False), ("dense", "dense", False), ("hybrid", "hybrid", False), ("hybrid_reranked", "hybrid", True))
+    # one frame of all stacks' hits, whose key holds the stack: a union of frames that are grouped by query already may pair parts of unequal numbers in Spark 4.1
+    key = lambda name: F.struct(name.alias("stack"), "query_id").alias("query_id")
+    hits = reduce(DataFrame.unionByName, [h.select(key(F.lit(name)), "rank", "id") for name, h in retrieval.stacks(docs, asked, stacks, 5).items()])
+    hits = hits.join(isins.withColumnRenamed("isin", "found"), "id").join(own.select(F.col("query_id").alias("own"), "isin"), F.col("query_id.query_id") == F.col("own"))
+    hits = hits.select("query_id", "rank", F.coalesce(F.col("found") == F.col("isin"), F.lit(False)).alias("relevant"))
+    every = expected.withColumn("stack", F.explode(F.array(*[F.lit(name) for name, _, _ in stacks]))).select(key(F.col("stack")), "expected")
+    return evaluate.macro(evaluate.hit_metrics(hits, every).withColumn("stack", F.col("query_id.stack")), "stack")
 
 
 query("stack_comparison")(lambda s, d: r6(stack_metrics(s, d)))

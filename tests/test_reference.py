@@ -513,3 +513,33 @@ def test_hybrid_asks_each_text_once_and_shuffles_no_vectors(spark, monkeypatch):
     assert all(sorted(one_by_one[k]) == sorted(one_by_one[100 + (k - 100) % 6]) for k in one_by_one)
     monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)  # some rounds
     assert sorted(got) == sorted(retrieval.stack(docs, asks, "hybrid", 5).collect())
+
+
+def test_rerank_moves_texts_of_candidates_only(spark):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "gamma"), (3, "alpha"), (4, None)], "id bigint, text string")
+    asks = spark.createDataFrame([(10, "alpha beta"), (11, None)], "query_id bigint, text string")
+    hits = spark.createDataFrame([(10, 1, 3, 0.9), (10, 2, 2, 0.8), (10, 3, 1, 0.7), (10, 4, 4, 0.2), (11, 5, 2, 0.5)], "query_id bigint, rank int, id bigint, score double")
+    x = retrieval.rerank(hits, docs, asks, 3)
+    assert [(r.query_id, r.id) for r in x.orderBy("query_id", "rank").collect()] == [(10, 1), (10, 3), (10, 2), (11, 2)]
+    assert "LeftSemi" in x._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stack_comparison_runs_on_any_number_of_parts(spark):
+    from fundspark.plans import reference_queries as rq
+
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+        got = {r.stack: r for r in rq.QUERIES["stack_comparison"](spark, "/root/testdata/sf0.001").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    docs, asks = rq.doc_texts(spark, "/root/testdata/sf0.001"), rq.doc_queries(spark, "/root/testdata/sf0.001")
+    isin = {r.doc_id: r.isin for r in rq.table(spark, "/root/testdata/sf0.001", "documents").collect()}
+    assert len(got) == 4
+    for name, kind, again in (("bm25", "bm25", False), ("hybrid_reranked", "hybrid", True)):
+        hits = retrieval.stack(docs, asks, kind, 5, reranked=again).collect()
+        rr = []
+        for q in [r.query_id for r in asks.collect()]:
+            own = [r.rank for r in hits if r.query_id == q and isin[r.id] == isin[q] and isin[q] is not None]
+            rr.append(1.0 if isin[q] is None else 1 / min(own) if own else 0.0)
+        assert abs(got[name].rr - sum(rr) / len(rr)) < 1e-6
