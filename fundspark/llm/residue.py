@@ -118,16 +118,16 @@ id est laborum perspiciatis unde omnis iste natus error voluptatem accusantium d
 nemo ipsam quia voluptas aspernatur aut odit fugit consequuntur magni dolores eos ratione sequi nesciunt neque porro quisquam dolorem numquam eius modi tempora incidunt magnam aliquam quaerat"""
 #: Words of Latin filler in a sentence that make it filler copy.
 LATIN_WORDS = 4
-#: Share of the words of a sentence or line that must be of the lexicon for it to be residue, and its most characters.
-UNIT_COVERAGE, UNIT_CHARS = 0.85, 300
+#: Share of the words of a sentence or line, of any length, that must be of the lexicon for it to be residue.
+UNIT_COVERAGE = 0.85
 
 # Forms of template fields; each begins with its own sign.
 FIELDS = (
-    r"\{\{[^{}\n]{1,80}\}\}",
-    r"\{%[^%\n]{1,80}%\}",
-    r"<%[^%\n]{1,80}%>",
-    r"\$\{[^{}\n]{1,60}\}",
-    r"\[\[[^\[\]\n]{1,60}\]\]",
+    r"\{\{[^{}\n]+\}\}",
+    r"\{%[^%\n]+%\}",
+    r"<%[^%\n]+%>",
+    r"\$\{[^{}\n]+\}",
+    r"\[\[[^\[\]\n]+\]\]",
     r"@@[\w.]+@@",
     r"__(?<!\w__)[^\W\d_](?:[\w.]*[^\W_])?__(?!\w)",
     r"_(?<!\w_)_{4,}(?!\w)",
@@ -303,10 +303,9 @@ def residue_spans(text: str) -> list[tuple[int, int, str]]:
             at += 1
         a, b = ends[at], ends[at + 1]
         until = b
-        if b - a <= UNIT_CHARS or "ipsum" in low[a:b]:
-            kind = unit_kind(low[a:b])
-            if kind:
-                spans.append((a, b, kind))
+        kind = unit_kind(low[a:b])
+        if kind:
+            spans.append((a, b, kind))
     spans += [(m.start(), m.end(), "field") for m in _field().finditer(text)]
     if any(w in low for w in _HEAD_WORDS):
         spans += [(m.start(), m.end(), "error") for m in _head().finditer(low)]

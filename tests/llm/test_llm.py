@@ -217,3 +217,12 @@ def test_residue_rows(spark):
     assert not got[n].excluded and got[n].coverage == 0 and got[n + 1].excluded and got[n + 1].kinds == ["field"]
     assert residue.marked(docs).where("coverage > 1").count() == 0 and residue.residue(docs.limit(0)).count() == 0
     assert residue.marked(docs, 0.5).where("excluded").count() < residue.marked(docs).where("excluded").count()
+
+
+def test_residue_of_any_length():
+    from fundspark.llm.residue import residue_spans
+
+    long = "This page could not be found and the server is not available, " * 8 + "please try again later"
+    assert len(long) > 300 and [k for _, _, k in residue_spans(long)] == ["error"]
+    assert [k for _, _, k in residue_spans("Frais : {{ fund.fees | default('" + "ab " * 30 + "') }} par an")] == ["field"]
+    assert residue_spans("The manager explained that the server of the custodian was unavailable, " * 8 + "and investors bought bonds") == []
